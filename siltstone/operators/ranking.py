@@ -39,3 +39,32 @@ def distributed_row_number(df: DataFrame, by: list[str], order: list[str], out:
         .withColumn(out, F.col("__n") + F.coalesce("__off", F.lit(0)))
         .drop("__part", "__n", "__off")
     )
+
+
+#: Rows in one block of ``carry_last``.
+BLOCK = 4096
+
+
+def carry_last(df: DataFrame, by: list[str], n: str, value, out: str, before: bool = False) -> DataFrame:
+    """Add ``out``: the last non-null ``value`` at or before a row (``before``: strictly before).
+
+    ``n`` numbers the rows of each group ``by`` from 1 on, as
+    ``distributed_row_number`` does.  Rows are handled in blocks of numbers;
+    what the blocks before leave behind is one row per block.
+    """
+    blocks = df.withColumn("__value", value).withColumn("__block", F.floor(F.col(n) / BLOCK))
+    inside = Window.partitionBy(*by, "__block").orderBy(n)
+    frame = inside.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    earlier = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = (
+        blocks.where("__value IS NOT NULL").groupBy(*by, "__block").agg(F.max_by("__value", n).alias("__end"))
+    )
+    carried = (
+        blocks.select(*by, "__block").distinct().join(ends, [*by, "__block"], "left")
+        .withColumn("__carried", F.last("__end", ignorenulls=True).over(earlier)).drop("__end")
+    )
+    return (
+        blocks.join(carried, [*by, "__block"], "left")
+        .withColumn(out, F.coalesce(F.last("__value", ignorenulls=True).over(frame), F.col("__carried")))
+        .drop("__value", "__block", "__carried")
+    )
