@@ -138,7 +138,8 @@ def _parts(name: Column) -> Column:
             [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["kind", "first", "second", "sure"]
         )
 
-    return read(name)
+    # else a filter on the result would move the reading below the repartition that spreads it
+    return read.asNondeterministic()(name)
 
 
 def edit_distance(a: str, b: str) -> int:
