@@ -40,7 +40,7 @@ def posts(messages: DataFrame) -> DataFrame:
                 F.col("reference.messageId").alias("ref"))
         .dropDuplicates(["channel", "id"])
     )
-    return distributed_row_number(one, ["channel"], ["pos", "id"], "n")
+    return distributed_row_number(materialize(one, "posts"), ["channel"], ["pos", "id"], "n")
 
 
 def _follows(author, at, next_author, next_at):
@@ -115,7 +115,7 @@ def by_replies(rows: DataFrame) -> DataFrame:
         )
     )
     # bases only, numbered anew, so that segments can be carried forward
-    ordered = distributed_row_number(seen, ["channel"], ["n"], "i")
+    ordered = distributed_row_number(materialize(seen, "seen"), ["channel"], ["n"], "i")
     segments = materialize(
         carry_last(ordered, ["channel"], "i", F.when(~F.col("some"), F.col("n")), "segment"), "segments"
     )

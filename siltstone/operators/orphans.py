@@ -109,7 +109,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, parent_id: str, arriv
         .agg((F.max("p") == 1).alias("is_parent"))
     )
     keys = materialize(
-        distributed_row_number(ids.withColumn("all", F.lit(0)), ["all"], ["item_id"], "k").drop("all"), "keys"
+        distributed_row_number(materialize(ids.withColumn("all", F.lit(0)), "ids"), ["all"], ["item_id"], "k").drop("all"), "keys"
     )
     missing = beyond_runs(keys.where("NOT is_parent"), parent_runs(keys))
     known = (

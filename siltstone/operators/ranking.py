@@ -8,28 +8,40 @@ from pyspark.sql import functions as F
 from siltstone.session import materialize, width
 
 
-def distributed_row_number(df: DataFrame, by: list[str], order: list[str], out: str, dense: bool = False) -> DataFrame:
+#: Groups with more rows than this are numbered in parts.
+GROUP_ROWS = 200_000
+
+
+def distributed_row_number(df: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
     """Add ``out``: 1, 2, ... within ``by`` in the order of ``order``.
 
     ``by`` columns must not be null.  ``by + order`` should identify a row;
-    rows that tie get different numbers in no stated order (with ``dense``
-    they get the same number, and numbers have no gaps).
-
-    The rows are range-partitioned by (by, order), so a group that holds a
-    third of all rows is cut over many tasks.  A task's rows are numbered on
-    their own; the count of a group's rows in the tasks before is added after.
-    Only a partition's first group can begin before it, so at most one row
-    per partition is broadcast.
+    rows that tie get different numbers in no stated order.  ``df`` is read
+    more than once and should be a table or cheap to make.
+
+    Groups of up to GROUP_ROWS rows take an ordinary window.  The rows of
+    larger ones are range-partitioned by (by, order), so that a group that
+    holds a third of all rows is cut over many tasks.  A task's rows are
+    numbered on their own; the count of a group's rows in the tasks before is
+    added after.
     """
+    plain = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint")
+    large = materialize(df.groupBy(*by).count().where(F.col("count") > GROUP_ROWS).select(*by), "large")
+    if large.isEmpty():
+        return df.withColumn(out, plain)
+    some = _in_parts(df.join(large, by, "left_semi"), by, order, out)
+    return some.unionByName(df.join(large, by, "left_anti").withColumn(out, plain).select(some.columns))
+
+
+def _in_parts(df: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
+    """Row numbers over range partitions.  Only a partition's first group can begin
+    before it, so at most one row per partition is broadcast."""
     n = width(df.sparkSession)
     cut = materialize(
         df.repartitionByRange(n, *by, *order).withColumn("__part", F.spark_partition_id()), "ranked"
     )
-    number = F.dense_rank() if dense else F.row_number()
-    local = cut.withColumn("__n", number.over(Window.partitionBy("__part", *by).orderBy(*order)).cast("bigint"))
-    # equal order keys always share a range partition, so distinct counts add up
-    size = F.countDistinct(*order) if dense else F.count(F.lit(1))
-    counts = cut.groupBy(*by, "__part").agg(size.alias("__size"))
+    local = cut.withColumn("__n", F.row_number().over(Window.partitionBy("__part", *by).orderBy(*order)).cast("bigint"))
+    counts = cut.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__size"))
     earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         counts.withColumn("__off", F.sum("__size").over(earlier)).where("__off > 0").drop("__size")
@@ -37,7 +49,7 @@ def distributed_row_number(df: DataFrame, by: list[str], order: list[str], out:
     return (
         local.join(F.broadcast(carried), [*by, "__part"], "left")
         .withColumn(out, F.col("__n") + F.coalesce("__off", F.lit(0)))
-        .drop("__part", "__n", "__off")
+        .select(*df.columns, out)
     )
 
 

@@ -11,7 +11,9 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_row_numbers_of_a_hot_group(spark):
+@pytest.mark.parametrize("most", [10**9, 500, 0])
+def test_row_numbers_of_a_hot_group(spark, monkeypatch, most):
+    monkeypatch.setattr(ranking, "GROUP_ROWS", most)
     random.seed(1)
     data = [("hot" if i % 3 else f"k{i % 7}", random.randrange(50), i) for i in range(3000)]
     got = rows(ranking.distributed_row_number(spark.createDataFrame(data, "k string, v int, i int"), ["k"], ["v", "i"], "n"))
@@ -22,11 +24,6 @@ def test_row_numbers_of_a_hot_group(spark):
     assert got == sorted(want)
 
 
-def test_dense_numbers(spark):
-    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 3), ("b", 2)], "k string, v int")
-    assert rows(ranking.distributed_row_number(df, ["k"], ["v"], "n", dense=True)) == [("a", 1, 1), ("a", 1, 1), ("a", 3, 2), ("b", 2, 1)]
-
-
 def test_row_numbers_of_nothing(spark):
     assert rows(ranking.distributed_row_number(spark.createDataFrame([], "k string, v int"), ["k"], ["v"], "n")) == []
 
