@@ -10,10 +10,11 @@ sessions):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.operators.ranking import distributed_row_number
+from siltstone.operators.chains import follow_pointers
+from siltstone.operators.ranking import carry_last, distributed_row_number
 from siltstone.operators.skew import lookup_join
 from siltstone.session import materialize
 
@@ -79,12 +80,12 @@ def message_table(messages: DataFrame) -> DataFrame:
 def with_roots(messages: DataFrame) -> DataFrame:
     """Messages whose chain of references ends at an opening message, with ``root``.
 
-    ``early`` tells that a message is older than the one it refers to.  Every
-    round halves the way to the opening message that is left (a message takes
-    over its parent's pointer), so a chain of n references takes log2(n)
-    rounds; chains into nothing and circles end with their rows left out.
+    ``early`` tells that a message is older than the one it refers to.
     """
-    openers = messages.where("opens").select("channel", "id", F.col("id").alias("root"), F.lit(False).alias("early"))
+    facts = ["author", "at", "filled"]
+    openers = messages.where("opens").select(
+        "channel", "id", *facts, F.col("id").alias("root"), F.lit(False).alias("early"), F.lit(True).alias("opens")
+    )
     target = messages.select(
         "channel",
         F.col("id").alias("parent"),
@@ -92,32 +93,17 @@ def with_roots(messages: DataFrame) -> DataFrame:
         F.col("opens").alias("p_opens"),
         F.col("parent").alias("p_parent"),
     )
-    replies = messages.where("parent IS NOT NULL").select("channel", "id", "parent", "at")
+    replies = messages.where("parent IS NOT NULL").select("channel", "id", "parent", *facts)
     step = (
         lookup_join(replies, target, ["channel", "parent"], "inner")
         .where("p_opens OR p_parent IS NOT NULL")
         .select(
-            "channel", "id", F.coalesce(F.col("at") < F.col("p_at"), F.lit(False)).alias("early"),
+            "channel", "id", *facts, F.coalesce(F.col("at") < F.col("p_at"), F.lit(False)).alias("early"),
             F.when(F.col("p_opens"), F.col("parent")).alias("root"), F.col("parent").alias("ptr"),
         )
     )
-    state = materialize(step, "chain")
-    left, reach, last = state.where("root IS NULL").count(), 1, False
-    while left and not last:
-        # all unresolved ancestors of a message are among the unresolved rows, so
-        # from here one more round resolves every chain that is not a circle
-        last = reach >= left
-        ahead = state.select(
-            "channel", F.col("id").alias("ptr"), F.col("root").alias("a_root"), F.col("ptr").alias("a_ptr")
-        )
-        moved = lookup_join(state.where("root IS NULL"), ahead, ["channel", "ptr"], "inner").select(
-            "channel", "id", "early", F.col("a_root").alias("root"), F.col("a_ptr").alias("ptr")
-        )
-        state = materialize(state.where("root IS NOT NULL").unionByName(moved), "chain")
-        left, reach = state.where("root IS NULL").count(), 2 * reach
-    found = state.where("root IS NOT NULL").select("channel", "id", "root", "early")
-    facts = messages.select("channel", "id", "author", "at", "filled", "opens")
-    return openers.unionByName(found).join(facts, ["channel", "id"])
+    found = follow_pointers(step, ["channel"]).drop("ptr").withColumn("opens", F.lit(False))
+    return openers.unionByName(found)
 
 
 def _assemble(rows: DataFrame, key: list[str], drop_broken: bool) -> DataFrame:
@@ -139,11 +125,12 @@ def _assemble(rows: DataFrame, key: list[str], drop_broken: bool) -> DataFrame:
     answered = (F.col("lo") != F.col("opener")) | (F.col("hi") != F.col("opener"))
     kept = facts.where(F.col("said") & answered)
     kept = (kept.where("NOT broken") if drop_broken else kept).select(*key, "opener")
-    turns = (
+    turns = materialize(
         lookup_join(rows.where("filled"), kept, key, "inner")
         .withColumn("number", F.col("id").try_cast("decimal(38,0)"))
         .withColumn("role", F.when(F.col("author") == F.col("opener"), "opener").otherwise("replier"))
-        .drop("opener", "early", "filled", "opens")
+        .drop("opener", "early", "filled", "opens"),
+        "turns",
     )
     return distributed_row_number(turns, key, ["at", "number", "id"], "turn").withColumn("turn", F.col("turn").cast("int"))
 
@@ -159,12 +146,10 @@ def reply_conversations(messages: DataFrame) -> DataFrame:
     ``has_content``) keep the chain but get no turn.  Copies of a message
     count once, by the latest ``ingested_at``; an empty table gives no rows.
     """
-    rows = materialize(with_roots(materialize(message_table(messages), "messages")), "rooted")
+    rows = with_roots(materialize(message_table(messages), "messages"))
     return _assemble(rows, ["channel", "root"], True).select("channel", "root", "turn", "id", "role", "author", "at")
 
 
-#: Rows of a channel in one block of the gap search.
-BLOCK = 4096
 #: A silence longer than this share of a channel's silences splits sessions.
 GAP_SHARE = 0.9
 
@@ -178,27 +163,15 @@ def gap_sessions(messages: DataFrame, gap_share: float = GAP_SHARE) -> DataFrame
     of a session opens it; sessions without content from another account are
     dropped.
     """
-    rows = message_table(messages).where("author IS NOT NULL AND at IS NOT NULL").drop("parent", "opens")
-    rows = distributed_row_number(rows, ["channel"], ["at", "id"], "pos").withColumn("block", F.floor(F.col("pos") / BLOCK))
-    rows = materialize(rows, "positions")
-    block = Window.partitionBy("channel", "block").orderBy("pos")
-    before = rows.groupBy("channel", (F.col("block") + 1).alias("block")).agg(F.max_by("at", "pos").alias("prior"))
-    gaps = rows.join(before, ["channel", "block"], "left").withColumn(
-        "gap", F.col("at") - F.coalesce(F.lag("at").over(block), "prior")
-    )
+    rows = materialize(message_table(messages).where("author IS NOT NULL AND at IS NOT NULL").drop("parent", "opens"), "messages")
+    rows = distributed_row_number(rows, ["channel"], ["at", "id"], "pos")
+    gaps = carry_last(rows, ["channel"], "pos", F.col("at"), "prior", before=True).withColumn("gap", F.col("at") - F.col("prior"))
+    gaps = materialize(gaps, "gaps")
     limit = gaps.groupBy("channel").agg(F.percentile_approx("gap", gap_share, 1000).alias("limit"))
-    starts = gaps.join(limit, "channel", "left").withColumn(
-        "start", F.when(F.col("gap").isNull() | (F.col("gap") > F.col("limit")), F.col("pos"))
-    )
-    starts = materialize(starts.drop("gap", "limit", "prior"), "starts")
-    earlier = Window.partitionBy("channel").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        starts.groupBy("channel", "block").agg(F.max("start").alias("s")).withColumn("carried", F.max("s").over(earlier)).drop("s")
-    )
-    sessions = starts.join(carried, ["channel", "block"], "left").select(
-        "channel",
-        F.coalesce(F.max("start").over(block.rowsBetween(Window.unboundedPreceding, 0)), "carried").alias("session"),
-        "id", "author", "at", "filled", F.col("start").isNotNull().alias("opens"), F.lit(False).alias("early"),
+    begins = F.col("gap").isNull() | (F.col("gap") > F.col("limit"))
+    starts = materialize(gaps.join(limit, "channel", "left").withColumn("start", F.when(begins, F.col("pos"))), "starts")
+    sessions = carry_last(starts, ["channel"], "pos", F.col("start"), "session").select(
+        "channel", "session", "id", "author", "at", "filled", F.col("start").isNotNull().alias("opens"), F.lit(False).alias("early")
     )
     return _assemble(materialize(sessions, "sessions"), ["channel", "session"], False).select(
         "channel", "session", "turn", "id", "role", "author", "at"
