@@ -121,7 +121,7 @@ def read_name(spelling: str) -> tuple[str, str, str, bool] | None:
         given = next(t for t, i in zip(tokens, initial) if i)
         return "person", fold(full[0]), fold(given)[0] + ".", True
     if len(full) == 2:
-        caps = [t.isupper() and len(fold(t)) > 3 for t in full]
+        caps = [t.isupper() and len(fold(t)) > 2 for t in full]
         if caps[0] != caps[1]:
             family, given = (full[0], full[1]) if caps[0] else (full[1], full[0])
             return "person", fold(family), fold(given), True

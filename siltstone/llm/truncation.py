@@ -25,6 +25,9 @@ SLACK = 20
 #: A word that ends a sentence or line more rarely than this did not end one here (at a limit: the second).
 RARELY, RARELY_AT_LIMIT = 0.002, 0.05
 
+#: How often a word is seen that is well known.
+KNOWN = 20
+
 # What is appended where a text is cut.
 APPENDED = regex.compile(
     r"(?i)(?:�+|[(\[]\s*(?:more|truncated|cut|continued|cont\.?|…|\.\.\.)\s*[)\]]|(?:…|\.\.\.)\s*[»›>]+"
@@ -34,7 +37,7 @@ APPENDED = regex.compile(
 # Lines that close a text without a full stop.
 CLOSING = regex.compile(
     r"(?i)(?:tags?|filed under|next|previous|posted in|posted by|source|sources|see also|via|related|categor(?:y|ies)|labels?"
-    r"|keywords|license|licence|published|author|by|cc|ps|sent from)\b\s*:?\s.*|[—–]\s*\S.*|--?\s+\S[^.!?]{0,40}|free to copy"
+    r"|keywords|license|licence|published|author|by|cc|ps|sent from)\b\s*:?\s.*|[—–]\s*\S.*|--\s+\S[^.!?]{0,40}|free to copy"
 )
 BULLET = regex.compile(r"\s*(?:[-*•+‣◦]|\d{1,3}[.)])\s+\S")
 END = r"[.!?。！？؟।︒]"
@@ -182,7 +185,9 @@ def truncated(documents: DataFrame) -> DataFrame:
     cut = (
         state.isin("cut", "prose")
         | ((state == "dotted") & (at_limit | unlikely))
-        | (state.isin("list", "informal") & unlikely)
+        | ((state == "list") & unlikely)
+        # who types without full stops may end with any word, so this one must be well known
+        | ((state == "informal") & unlikely & (F.col("seen") >= KNOWN))
         # a name that signs texts is seen at the end of texts only
         | ((state == "name") & (at_limit | ((F.col("seen") > 2) & (F.col("last") * 2 < F.col("seen")))))
     )
