@@ -26,7 +26,9 @@ SHINGLE, SHORTEST_TEXT = 5, 200
 SAME = 0.8
 #: Share of shingles in common that is looked for, and of cells that are probed; a text that
 #: has OVERLAP of the shingles in common has at least OVERLAP - (1 - PROBED) among those probed.
-OVERLAP, PROBED = 0.45, 0.6
+OVERLAP, PROBED = 0.5, 0.6
+#: Cells with up to so many texts cost little and are probed in any case.
+SMALL = 32
 #: A text has words in common order only with one of about its length.
 LENGTHS = 1.5
 #: Cells with more texts than this are probed in steps, the oldest texts first.
@@ -156,11 +158,11 @@ class History:
         # the rarest PROBED of a text's cells; those with this text alone are rarest of all
         probes = own.join(sizes, "cell", "left").withColumn("size", F.coalesce("size", F.lit(1)))
         ranked = probes.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("size", "cell"))).alias("c")).select(
-            "cls", "n", F.size("c").alias("m"),
-            F.explode(F.slice("c", F.lit(1), F.ceil(F.size("c") * PROBED).cast("int"))).alias("c"),
+            "cls", "n", F.size("c").alias("m"), F.posexplode("c").alias("at", "c")
         )
+        asked = (F.col("c.size") > 1) & ((F.col("at") < F.col("m") * PROBED) | (F.col("c.size") <= SMALL))
         probes = materialize(
-            ranked.where("c.size > 1").select("cls", "n", "m", F.col("c.cell").alias("cell"), F.col("c.size").alias("size")), "probes"
+            ranked.where(asked).select("cls", "n", "m", F.col("c.cell").alias("cell"), F.col("c.size").alias("size")), "probes"
         )
         fits = (F.col("other_n") * LENGTHS >= F.col("n")) & (F.col("other_n") <= F.col("n") * LENGTHS)
         quiet = cells.where(F.col("size") <= CROWDED).select("cell", F.col("cls").alias("other"), F.col("n").alias("other_n"))
@@ -185,7 +187,10 @@ class History:
         mine = vectors.withColumnRenamed("words", "a")
         theirs = vectors.select(F.col("cls").alias("other"), F.col("words").alias("b"))
         both = pairs.join(mine, "cls").join(theirs, "other")
-        return materialize(both.where(_likeness(F.col("a"), F.col("b")) >= SAME).select("cls", "other"), "same")
+        # words of one text that the other lacks can be in no common order
+        spare = lambda x: F.size(x) - SAME / 2 * (F.size("a") + F.size("b"))
+        alike = (F.size(F.array_except("a", "b")) <= spare("a")) & (F.size(F.array_except("b", "a")) <= spare("b"))
+        return materialize(both.where(alike & (_likeness(F.col("a"), F.col("b")) >= SAME)).select("cls", "other"), "same")
 
     def _crowded(self, probes: DataFrame, cells: DataFrame, vectors: DataFrame) -> DataFrame:
         """Pairs found in crowded cells, for each text and cell at least the oldest there is.
