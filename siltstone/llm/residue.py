@@ -238,4 +238,5 @@ def residue(text: Column) -> Column:
             shares.append(r[1])
         return pa.StructArray.from_arrays([pa.array(reasons, pa.string()), pa.array(shares, pa.float64())], ["reason", "coverage"])
 
-    return judged(text)
+    # else a filter on the result would move the judging below the repartition that spreads it
+    return judged.asNondeterministic()(text)
