@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import markup, text, urls
-from siltstone.operators import clusters, integrity, items, ledger, members, recall
+from siltstone.operators import clusters, integrity, items, ledger, media, members, recall
 from siltstone.session import materialize, scratch_path, spread, table
 from siltstone.sources import writers
 from siltstone.streaming import inbox
@@ -381,6 +381,30 @@ def exclusions_added(spark: SparkSession, d: str) -> DataFrame:
     return items.new_exclusions(rows.where("excluded_on >= '2025-01-01'"), rows.where("excluded_on < '2025-01-01'"))
 
 
+@query("""SELECT DISTINCT file FROM (SELECT 'raw/discord/' || channel || '/' || u AS file FROM (SELECT channel, unnest(attachments).url AS u FROM messages) WHERE u IS NOT NULL AND NOT starts_with(u, 'http'))
+WHERE file NOT IN (SELECT f FROM (SELECT unnest(attachments) AS f FROM corpus) WHERE f IS NOT NULL)""")
+def files_unreferenced(spark: SparkSession, d: str) -> DataFrame:
+    return media.unreferenced_files(table(spark, d, "messages"), table(spark, d, "corpus"))
+
+
+@query("""SELECT kind, count(*) AS texts, count(*) FILTER (WHERE CASE kind WHEN 'youtube' THEN length(body) >= 200 WHEN 'blog' THEN length(body) > 300
+  WHEN 'paper' THEN length(body) > 2000 ELSE length(body) > 0 END) AS enough FROM enrichment WHERE body IS NOT NULL GROUP BY 1""")
+def texts_long_enough(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "enrichment").where("body IS NOT NULL")
+    return rows.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if(media.long_enough(F.col("kind"), F.col("body"))).alias("enough")
+    )
+
+
+@query("""SELECT hash, max(length(error)) FILTER (WHERE error IS NOT NULL) > 60 AS shortened, count(*) AS lines FROM enrichment_ledger WHERE error IS NOT NULL AND hash IS NOT NULL GROUP BY 1""")
+def errors_shortened(spark: SparkSession, d: str) -> DataFrame:
+    """Per link: error lines, and whether one of them is longer than a report line."""
+    rows = table(spark, d, "enrichment_ledger").where("error IS NOT NULL AND hash IS NOT NULL")
+    return rows.groupBy("hash").agg(
+        F.max(F.length(media.capped(F.col("error"), "error")) > 60).alias("shortened"), F.count(F.lit(1)).alias("lines")
+    )
+
+
 # ---- integrity -----------------------------------------------------------
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import chains, clusters, integrity, items, ledger, members, orphans, ranking, skew
+from siltstone.operators import chains, clusters, integrity, items, ledger, media, members, orphans, ranking, skew
 from siltstone.streaming import inbox
 
 
@@ -255,3 +255,27 @@ def test_inbox_is_drained_once(spark, tmp_path):
     got = {r.file: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert len(got) == 4 and got["20240101-000000.md"].url == "https://a.example/x?utm_source=y"
     assert got["20240101-000001.md"].sound and not got["20240101-000002.md"].sound
+
+
+def test_assets(spark):
+    base = "https://api.github.com/repos/o/r/releases/assets/"
+    captures = spark.createDataFrame(
+        [("a", base + "1", "x.png"), ("b", base + "2", None), ("c", "nonsense", "n"), ("d", base + "4", None), ("e", base + "5", "gone"), ("f", base + "6", "kept"), ("g", None, None), ("h", base + "7", "n")],
+        "file string, asset string, name string",
+    )
+    assets = spark.createDataFrame(
+        [(1, base + "1", 200, "x.png", 10), (2, base + "2", 200, "y.png", 5), (4, base + "4", 404, None, None), (5, base + "5", 404, None, None), (6, base + "6", 404, None, None), (9, base + "9", 200, "z", 1)],
+        "id bigint, url string, status int, name string, size bigint",
+    )
+    stored = captures.where("file IN ('a', 'f')").select(F.concat(F.lit("media/"), F.left(F.sha1(F.concat(F.lit("media/"), "name")), F.lit(6)), F.lit("/"), "name").alias("media"), F.lit(10).cast("bigint").alias("size"))
+    got = media.asset_outcomes(captures, assets, stored)
+    assert {r.file: r.outcome for r in got.collect()} == {"a": "present", "b": "download", "c": "malformed", "d": "nameless", "e": "gone", "f": "present", "h": "unreachable"}
+    assert [r.id for r in media.stray_assets(assets, captures).collect()] == [9]
+    assert rows(media.inbox_counts(captures, got)) == [(7, 1, 4)]
+
+
+def test_lengths_and_states(spark):
+    df = spark.createDataFrame([("youtube", "x" * 200, 1), ("blog", "x" * 300, 24_000_001), ("blog", "x" * 301, None), ("paper", "x" * 2001, 24_000_000), ("tweet", "", 1)], "k string, b string, n int")
+    got = df.select(media.long_enough(F.col("k"), F.col("b")).alias("l"), media.sound_state(F.col("n")).alias("s"), media.first_answer(F.lit(None).cast("string"), F.col("b")).isNotNull().alias("f")).collect()
+    assert [r.l for r in got] == [True, False, True, True, False] and [r.s for r in got] == [None, "toolong", "error", None, None]
+    assert [r.f for r in got] == [False, False, True, True, False]
