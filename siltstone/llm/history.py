@@ -32,7 +32,7 @@ SMALL = 32
 #: A text has words in common order only with one of about its length.
 LENGTHS = 1.5
 #: Cells with more texts than this are probed in steps, the oldest texts first.
-CROWDED, STEP, GROWTH, BLOCK = 1000, 64, 8, 4096
+CROWDED, STEP, GROWTH, BLOCK = 1000, 4, 8, 4096
 
 KEYS = "kind string, key string, seq bigint"
 CELLS = "cell bigint, cls bigint, n int"
