@@ -154,27 +154,32 @@ def items(messages: DataFrame, clusters: DataFrame, domains: list[str] | None =
         "channel", "cluster", first["id"].alias("first_id"), F.left(first["m"]["timestamp"], F.lit(10)).alias("date"),
         text.display_name(first["m"]["author"]).alias("shared_by"), content.alias("content"),
         F.array_distinct(F.filter(urls.links_in(content), outside)).alias("urls"), stored.alias("attachments"),
-        reactions.alias("reactions"), F.filter(embeds, lambda e: (e["title"] != "") & e["url"].isNotNull()).alias("embeds"), F.size("ms").alias("messages"),
-        F.array_join(F.transform("ms", _message_lines), "\n").alias("body"),
+        reactions.alias("reactions"), F.filter(embeds, lambda e: (e["title"] != "") & (e["url"] != "")).alias("embeds"), "ms",
     )
     title = F.get(F.reverse(F.filter("embeds", lambda e: e["url"] == F.get(F.col("urls"), F.lit(0)))), F.lit(0))["title"]
     slug = text.slugify(F.coalesce(title, F.substring(text.without_links(F.col("content")), 1, 80)))
     short = text.short_id(F.col("channel"), F.col("first_id"))
     kinds = F.array_sort(F.array_distinct(F.transform("urls", urls.share_kind)))
-    unfurls = F.array_join(F.transform("embeds", lambda e: F.concat(F.lit("> unfurl: "), e["title"])), "\n")
+    # of several titles of a link the last counts, in the place of the first
+    titles = F.transform(
+        F.array_distinct(F.transform("embeds", lambda e: e["url"])),
+        lambda u: F.concat(F.lit("> unfurl: "), F.element_at(F.filter("embeds", lambda e: e["url"] == u), -1)["title"]),
+    )
+    unfurls = F.nullif(F.array_join(titles, "\n"), F.lit(""))
+    body = F.array_join(F.transform("ms", lambda x, i: _message_lines(x, F.when(i == 0, unfurls))), "\n")
     return base.select(
         text.item_id(F.col("date"), slug, short).alias("id"), short.alias("short_id"), "channel", "shared_by", "date", "urls",
-        F.when(F.size(kinds) > 0, kinds).otherwise(F.array(F.lit("text"))).alias("kinds"), "attachments", "reactions", "messages",
-        F.concat_ws("\n", F.nullif(unfurls, F.lit("")), "body").alias("body"),
+        F.when(F.size(kinds) > 0, kinds).otherwise(F.array(F.lit("text"))).alias("kinds"), "attachments", "reactions", F.size("ms").alias("messages"),
+        body.alias("body"),
         ((F.size("urls") > 0) | (F.size("attachments") > 0) | (text.substance(F.col("content")) >= SUBSTANCE)).alias("kept"),
     )
 
 
-def _message_lines(x):
+def _message_lines(x, unfurls):
     who = F.concat(F.lit("**"), text.display_name(x["m"]["author"]), F.lit("** ("),
                    F.replace(F.left(x["m"]["timestamp"], F.lit(16)), F.lit("T"), F.lit(" ")), F.lit("):"))
     files = F.array_join(F.transform(x["m"]["attachments"], lambda a: F.concat(F.lit("*[attached: "), a["fileName"], F.lit("]*"))), "\n")
-    return F.concat_ws("\n", who, F.nullif(x["m"]["content"], F.lit("")), F.nullif(files, F.lit("")), F.lit(""))
+    return F.concat_ws("\n", who, F.nullif(x["m"]["content"], F.lit("")), F.nullif(files, F.lit("")), unfurls, F.lit(""))
 
 
 def cluster_counters(made: DataFrame, excluded: DataFrame | None = None) -> DataFrame:

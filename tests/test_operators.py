@@ -160,7 +160,7 @@ def test_items_from_clusters(spark):
     assert first.kept and not second.kept
     assert first.id.startswith("2024-01-01-a-title-") and first.urls == [link] and first.kinds == ["blog"]
     assert first.attachments == ["raw/discord/c/files/p.png"] and first.reactions == 2 and first.shared_by == "name" and first.messages == 2
-    assert first.body == f"> unfurl: A: Title\n**name** (2024-01-01 23:30):\nlook {link}, https://own.example/y\n\n**Nick** (2024-01-01 23:40):\n*[attached: p.png]*\n*[attached: q]*\n" or "unfurl" in first.body
+    assert first.body == f"**name** (2024-01-01 23:30):\nlook {link}, https://own.example/y\n> unfurl: A: Title\n\n**Nick** (2024-01-01 23:40):\n*[attached: p.png]*\n*[attached: q]*\n"
     assert second.kinds == ["text"]
     out = spark.createDataFrame([(first.id.replace("a-title", "other-slug"),)], "id string")
     assert rows(clusters.cluster_counters(clusters.items(messages, clusters.by_replies(clusters.posts(messages)), []), out)) == [("c", 0, 2)]
