@@ -71,14 +71,18 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
-    root = Path(__file__).parent
-    archive = os.path.join(tempfile.mkdtemp(prefix="siltstone-"), "siltstone.zip")
+    root, shared = Path(__file__).parent, scratch_root(spark)
+    local = shared.removeprefix("file://").removeprefix("file:")
+    # a shared folder on a file system of its own kind can't be written here; Spark then serves the driver's copy
+    folder = os.path.join(local, "siltstone", app) if "://" not in local else tempfile.mkdtemp(prefix="siltstone-")
+    os.makedirs(folder, exist_ok=True)
+    archive = os.path.join(folder, "siltstone.zip")
     with zipfile.ZipFile(archive, "w") as z:
         for file in sorted(root.rglob("*.py")):
             z.write(file, file.relative_to(root.parent))
     spark.sparkContext.addPyFile(archive)
     _shipped.add(app)
-    atexit.register(shutil.rmtree, os.path.dirname(archive), ignore_errors=True)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
