@@ -2,15 +2,19 @@
 
 The index of what was accepted is a folder of tables to which batches are
 appended: keys (ids, sets of links, equal texts), and for near-duplicates an
-inverted file.  A text is a sparse vector of its five-word shingles; every
-shingle is a cell that lists the texts that have it, and the full vectors and
-words are kept beside.  A new text probes its cells from the rarest on, and
+inverted file.  A text is a sparse vector of its pairs of neighbouring words;
+every pair is a cell that lists the texts that have it, and the full vectors
+and words are kept beside.  A new text probes its cells from the rarest on, and
 stops when the cells left are too few for any text within the distance; what
-it met often enough is compared word by word.
+it met there is compared word by word unless the sets of words rule it out.
+No bound loses a pair: see ``_possible``.
 """
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,23 +24,21 @@ from siltstone.operators.ranking import distributed_row_number
 from siltstone.operators.skew import lookup_join
 from siltstone.session import materialize, scratch_path, spread
 
-#: Words in a shingle, and letters from which on a text is compared.
-SHINGLE, SHORTEST_TEXT = 5, 200
+#: Letters from which on a text is compared.
+SHORTEST_TEXT = 200
 #: Texts are the same from this share of common words in common order on.
 SAME = 0.8
-#: Share of shingles in common that is looked for, and of cells that are probed; a text that
-#: has OVERLAP of the shingles in common has at least OVERLAP - (1 - PROBED) among those probed.
-OVERLAP, PROBED = 0.5, 0.6
-#: Cells with up to so many texts cost little and are probed in any case.
-SMALL = 32
-#: A text has words in common order only with one of about its length.
-LENGTHS = 1.5
+#: Share of a text's cells that are probed: follows from SAME and the shortest text that can be the same, of
+#: SAME / (2 - SAME) * n words; see ``_possible``.
+PROBED = 1 - (3 * SAME / 2 - 1) * (1 + SAME / (2 - SAME))
+#: Words of a text are also kept as a set of bits, in so many numbers of 64.
+BITS = ["b0", "b1", "b2", "b3"]
 #: Cells with more texts than this are probed in steps, the oldest texts first.
 CROWDED, STEP, GROWTH, BLOCK = 1000, 4, 8, 4096
 
 KEYS = "kind string, key string, seq bigint"
 CELLS = "cell bigint, cls bigint, n int"
-VECTORS = "cls bigint, n int, words array<string>, cells array<bigint>"
+VECTORS = "cls bigint, n int, words array<string>, cells array<bigint>, " + ", ".join(f"{b} bigint" for b in BITS)
 NEAR = "cls bigint, near bigint"
 
 
@@ -69,12 +71,57 @@ def _keys(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(kinds).alias("k"), "seq").select("k.kind", "k.key", "seq").where("key IS NOT NULL")
 
 
+def _bits(words: Column) -> Column:
+    """The set of words, each as one of the bits of BITS."""
+    @F.arrow_udf("struct<" + ", ".join(f"{b}: bigint" for b in BITS) + ">")
+    def of(texts: pa.Array) -> pa.Array:
+        flat = texts.flatten().dictionary_encode()
+        places = np.array([zlib.crc32(w.encode()) % (64 * len(BITS)) for w in flat.dictionary.to_pylist()], np.int64)
+        sizes = np.diff(texts.offsets.to_numpy())
+        table = np.zeros((len(texts), 64 * len(BITS)), np.uint8)
+        table[np.repeat(np.arange(len(texts)), sizes), places[flat.indices.to_numpy()]] = 1
+        packed = np.packbits(table, axis=1, bitorder="little").view("<i8")
+        return pa.StructArray.from_arrays([pa.array(packed[:, i]) for i in range(len(BITS))], BITS)
+
+    return of(words)
+
+
 def _vectors(rows: DataFrame) -> DataFrame:
-    """(cls, n, words, cells) of rows with words."""
-    at = F.sequence(F.lit(1), F.greatest(F.size("words") - SHINGLE + 1, F.lit(1)))
-    shingles = F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("words", i, SHINGLE), " ")))
-    return rows.where("size(words) > 0").select(
-        F.col("seq").alias("cls"), F.size("words").alias("n"), "words", F.array_distinct(shingles).alias("cells")
+    """(cls, n, words, cells, bits) of rows with words: n + 1 cells, as the ends of a text are neighbours too.
+
+    A pair of words that comes again in a text is another cell each time.
+    """
+    padded = F.concat(F.array(F.lit("^")), F.col("words"), F.array(F.lit("$")))
+    pairs = rows.where("size(words) > 0").select(
+        F.col("seq").alias("cls"), F.size("words").alias("n"), "words", _bits(F.col("words")).alias("bits"),
+        padded.alias("padded"),
+    ).select("cls", "n", "words", "bits.*", F.array_sort(F.transform(
+        F.sequence(F.lit(1), F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("padded", i, 2), " "))
+    )).alias("pairs"))
+    again = F.transform("pairs", lambda x, i: F.xxhash64(x, i + 1 - F.array_position("pairs", x)))
+    return pairs.select("cls", "n", "words", again.alias("cells"), *BITS)
+
+
+def _possible() -> Column:
+    """Whether cls and other may be the same, by lengths, places among their cells, and sets of words.
+
+    Texts of n and k words that are the same have at least ``least`` = SAME / 2 * (n + k)
+    words in common order.  With the ends of the texts these are least + 1 pairs of
+    neighbours, and each of the n + k - 2 * least other words parts one of them at
+    most; the rest are cells in common.  If both order their cells alike, the
+    first of these has at least as many of the text's own cells from it on.
+    """
+    n, k = F.col("n"), F.col("other_n")
+    least = F.ceil(SAME / 2 * (n + k) - 1e-9)
+    shared = 3 * least + 1 - n - k
+
+    def missing(a: str, b: str) -> Column:
+        each = [F.bit_count(F.col(a + x).bitwiseAND(F.bitwise_not(F.col(b + x)))) for x in BITS]
+        return sum(each[1:], each[0])
+
+    return (
+        (F.col("other") < F.col("cls")) & (F.col("at") <= n + 1 - shared) & (F.col("other_at") <= k + 1 - shared)
+        & (missing("", "other_") <= n - least) & (missing("other_", "") <= k - least)
     )
 
 
@@ -149,38 +196,35 @@ class History:
 
     def _near(self, new: DataFrame) -> DataFrame:
         """(cls, near): the oldest text that is nearly the same as each of ``new``, in index or batch."""
-        own = materialize(new.select(F.explode("cells").alias("cell"), "cls", "n"), "own")
-        cells = self._table("cells", CELLS).join(own.select("cell").distinct(), "cell", "left_semi").unionByName(own)
+        own = materialize(new.select(F.explode("cells").alias("cell"), "cls"), "own")
+        old = self._table("cells", CELLS).select("cell", "cls").join(own.select("cell").distinct(), "cell", "left_semi")
         # a cell with one text has nothing to be found
-        sizes = materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-        cells = materialize(cells.join(sizes, "cell"), "cells")
-        vectors = materialize(self._table("vectors", VECTORS).unionByName(new).select("cls", "words"), "words")
-        # the rarest PROBED of a text's cells; those with this text alone are rarest of all
-        probes = own.join(sizes, "cell", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-        ranked = probes.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("size", "cell"))).alias("c")).select(
-            "cls", "n", F.size("c").alias("m"), F.posexplode("c").alias("at", "c")
-        )
-        asked = (F.col("c.size") > 1) & ((F.col("at") < F.col("m") * PROBED) | (F.col("c.size") <= SMALL))
-        probes = materialize(
-            ranked.where(asked).select("cls", "n", "m", F.col("c.cell").alias("cell"), F.col("c.size").alias("size")), "probes"
-        )
-        fits = (F.col("other_n") * LENGTHS >= F.col("n")) & (F.col("other_n") <= F.col("n") * LENGTHS)
-        quiet = cells.where(F.col("size") <= CROWDED).select("cell", F.col("cls").alias("other"), F.col("n").alias("other_n"))
-        met = (
-            probes.where(F.col("size") <= CROWDED).join(quiet, "cell").where(F.col("other") < F.col("cls")).where(fits)
-            .groupBy("cls", "other", "m").agg(F.count(F.lit(1)).alias("shared"))
-        )
-        enough = F.greatest(F.lit(1), F.floor(F.col("m") * (OVERLAP - (1 - PROBED))))
-        crowded = probes.where(F.col("size") > CROWDED)
-        some = not crowded.isEmpty()
-        # a text some of whose cells are crowded may have met the other there
-        busy = crowded.select("cls").distinct().withColumn("busy", F.lit(True)) if some else None
-        met = met.join(busy, "cls", "left") if some else met.withColumn("busy", F.lit(None).cast("boolean"))
-        found = self._same(met.where(F.col("busy") | (F.col("shared") >= enough)).select("cls", "other"), vectors)
-        if some:
-            found = found.unionByName(self._crowded(crowded, cells.where(F.col("size") > CROWDED), vectors))
+        sizes = old.unionByName(own).groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        sizes = materialize(sizes, "sizes")
+        # a text's cells from the rarest on; those with this text alone are rarest of all
+        ranked = own.join(sizes, "cell", "left").withColumn("size", F.coalesce("size", F.lit(1))).groupBy("cls").agg(
+            F.array_sort(F.collect_list(F.struct("size", "cell"))).alias("c")
+        ).join(new.select("cls", "n", *BITS), "cls").select("cls", "n", *BITS, F.posexplode("c").alias("at", "c"))
+        asked = (F.col("c.size") > 1) & (F.col("at") <= F.floor(PROBED * F.col("n") + 1e-9))
+        columns = ["cell", "cls", "n", "at", "size", *BITS]
+        probes = ranked.where(asked).withColumn("cell", F.col("c.cell")).withColumn("size", F.col("c.size")).select(columns)
+        # cells of texts in the index are in no order, so that all of them are met
+        met = old.join(sizes, "cell").join(self._table("vectors", VECTORS).select("cls", "n", *BITS), "cls")
+        entries = materialize(probes.unionByName(met.withColumn("at", F.lit(-1)).select(columns)), "cells")
+        vectors = self._table("vectors", VECTORS).unionByName(new).select("cls", "words")
+        quiet = entries.where(F.col("size") <= CROWDED)
+        pairs = quiet.where("at >= 0").join(self._others(quiet), "cell").where(_possible()).select("cls", "other")
+        found = self._same(materialize(pairs.distinct(), "met"), vectors)
+        crowded = entries.where(F.col("size") > CROWDED)
+        if not crowded.isEmpty():
+            found = found.unionByName(self._crowded(crowded, vectors))
         return materialize(found.groupBy("cls").agg(F.min("other").alias("near")), "near")
 
+    @staticmethod
+    def _others(entries: DataFrame, *more: str) -> DataFrame:
+        named = {"cls": "other", "n": "other_n", "at": "other_at", **{b: f"other_{b}" for b in BITS}}
+        return entries.select("cell", *more, *[F.col(a).alias(b) for a, b in named.items()])
+
     @staticmethod
     def _same(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
         """Pairs (cls, other) whose words agree in order."""
@@ -192,37 +236,28 @@ class History:
         alike = (F.size(F.array_except("a", "b")) <= spare("a")) & (F.size(F.array_except("b", "a")) <= spare("b"))
         return materialize(both.where(alike & (_likeness(F.col("a"), F.col("b")) >= SAME)).select("cls", "other"), "same")
 
-    def _crowded(self, probes: DataFrame, cells: DataFrame, vectors: DataFrame) -> DataFrame:
+    def _crowded(self, entries: DataFrame, vectors: DataFrame) -> DataFrame:
         """Pairs found in crowded cells, for each text and cell at least the oldest there is.
 
         In each step the unanswered probes of a cell meet its next STEP
         (then GROWTH times as many) oldest texts.  A probe that is answered
         leaves its cell: texts come in order of age, so nothing older is left.
         """
-        ranked = materialize(
-            distributed_row_number(cells.select("cell", "cls", "n", "size"), ["cell"], ["cls"], "rank"), "crowd"
-        )
-        left = probes.join(ranked.select("cell", "cls", "rank"), ["cell", "cls"]).select("cell", "cls", "n", "rank", "size")
-        left, lo, hi, found = materialize(left, "left"), 0, STEP, None
+        ranked = materialize(distributed_row_number(entries, ["cell"], ["cls"], "rank"), "crowd")
+        left, lo, hi, found = ranked.where("at >= 0"), 0, STEP, None
         while not left.isEmpty():
-            window = ranked.where((F.col("rank") > lo) & (F.col("rank") <= hi)).select(
-                "cell", F.col("cls").alias("other"), F.col("n").alias("other_n"),
-                F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / BLOCK))).alias("block"),
-            )
+            blocks = F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / BLOCK))).alias("block")
+            window = self._others(ranked.where((F.col("rank") > lo) & (F.col("rank") <= hi)), "size").select(
+                "*", blocks).drop("size")
             # a crowded cell's probes are cut into blocks, each of which meets the same few texts
-            met = (
-                left.withColumn("block", F.floor(F.col("rank") / BLOCK)).join(window, ["cell", "block"])
-                .where(F.col("other") < F.col("cls"))
-                .where((F.col("other_n") * LENGTHS >= F.col("n")) & (F.col("other_n") <= F.col("n") * LENGTHS))
-                .select("cell", "cls", "other")
-            )
-            met = materialize(met, "met")
+            met = left.withColumn("block", F.floor(F.col("rank") / BLOCK)).join(window, ["cell", "block"])
+            met = materialize(met.where(_possible()).select("cell", "cls", "other"), "met")
             same = self._same(met.select("cls", "other").distinct(), vectors)
             found = same if found is None else found.unionByName(same)
             answered = met.join(same, ["cls", "other"], "left_semi").select("cell", "cls").distinct()
             left = materialize(left.where(F.col("rank") > hi).join(answered, ["cell", "cls"], "left_anti"), "left")
             lo, hi = hi, hi * GROWTH
-        return found if found is not None else probes.select("cls", F.col("cls").alias("other")).limit(0)
+        return found if found is not None else entries.select("cls", F.col("cls").alias("other")).limit(0)
 
 
 def repeats_of_ledger(rows: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -112,3 +112,24 @@ def test_common_words():
     for _ in range(200):
         a, b = (random.choices("abcde", k=random.randint(1, 30)) for _ in range(2))
         assert H.common_words(a, b) == lcs(a, b)
+
+
+def test_scattered_edits_in_a_group(spark):
+    random.seed(6)
+    data, texts, want = [], [], {}
+    first = random.choices(WORDS, k=100)
+    for seq in range(1, 301):
+        words = list(first)
+        share = random.uniform(0.12, 0.2)
+        for at in random.sample(range(100), int(100 * share)) if seq % 10 else range(4, 100, 5):
+            words[at] = random.choice(["other", "again", "then", f"new{random.randrange(10**6)}"])
+        if seq > 1:
+            texts.append((seq, words))
+        else:
+            texts.append((seq, first))
+        near = [s for s, w in texts[:-1] if 2 * H.common_words(w, texts[-1][1]) / 200 >= H.SAME]
+        if near:
+            want[seq] = min(near)
+        data.append((seq, f"i{seq}", [], " ".join(texts[-1][1]), 1, 1, 1, 1))
+    got = H.History(spark).accept(H.prepare(spark.createDataFrame(data, SCHEMA)))
+    assert len(want) > 290 and {r.seq: r.first for r in got.collect()} == want
