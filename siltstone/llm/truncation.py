@@ -34,10 +34,15 @@ APPENDED = regex.compile(
     r"|(?:…|\.\.\.)?\s*(?:read more|see more|show more|continue reading|weiterlesen|mehr lesen|lire la suite|leer más|seguir leyendo)"
     r"\s*(?:…|\.\.\.|[»›>→]+)?)$"
 )
-# Lines that close a text without a full stop.
+# Lines that close a text without a full stop. Their first words begin sentences as well, so that
+# without a colon only a short line is one, and one with "by" only before a name.
 CLOSING = regex.compile(
     r"(?i)(?:tags?|filed under|next|previous|posted in|posted by|source|sources|see also|via|related|categor(?:y|ies)|labels?"
-    r"|keywords|license|licence|published|author|by|cc|ps|sent from)\b\s*:?\s.*|[—–]\s*\S.*|--\s+\S[^.!?]{0,40}|free to copy"
+    r"|keywords|license|licence|published|author|by|cc|ps|sent from)\s*:.*"
+    r"|(?:tags?|filed under|next|previous|posted in|posted by|source|sources|see also|via|related|categor(?:y|ies)|labels?"
+    r"|keywords|license|licence|published|author|cc|ps|sent from)(?:\s+[^\s,;:.!?]+){0,4}"
+    r"|by\s+(?:the\s+[^\s,;:.!?]+|(?-i:\p{Lu})[^\s,;:!?]*(?:\s+[^\s,;:!?]+){0,3})"
+    r"|[—–]\s*\S.*|--\s+\S[^.!?]{0,40}"
 )
 BULLET = regex.compile(r"\s*(?:[-*•+‣◦]|\d{1,3}[.)])\s+\S")
 END = r"[.!?。！？؟।︒]"
@@ -54,6 +59,7 @@ def ending(text: str) -> tuple[str, str | None]:
 
     ``whole`` or ``cut`` are certain; ``prose`` lacks the full stop it should
     have; ``list``, ``informal``, ``dotted`` and ``name`` depend on the word.
+    ``whole`` with a word is a closing line, which is certain only off a limit.
     """
     t = text.rstrip()
     if not t:
@@ -77,11 +83,12 @@ def ending(text: str) -> tuple[str, str | None]:
         last.endswith(("```", "`", "|", "]"))
         or regex.search(r"(?:https?://|www\.)\S+$", last)
         or regex.search(r"(?:^|\s)[#@][\w-]+$", last)
-        or regex.match(r"#{1,6}\s|[=\-*_]{3,}$|<[^>]+>$", last)
-        or CLOSING.fullmatch(last)
+        or regex.match(r"#{1,6}\s|[=\-*_]{3,}$|<[^>]+>$|(?i:free to copy)$", last)
         or not words
     ):
         return "whole", None
+    if CLOSING.fullmatch(last):
+        return "whole", word
     number = words[-1].isdigit()
     bullets = [x for x in lines if BULLET.match(x)]
     if BULLET.match(lines[-1]):
@@ -170,7 +177,7 @@ def truncated(documents: DataFrame) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.lit(SLACK))).alias("below"), "limit",
     ).groupBy("src", "measure", (F.col("limit") - F.col("below")).alias("length")).agg(F.min("below").alias("below"))
     near = materialize(near, "limits")
-    open_ends = judged.where("state <> 'whole'")
+    open_ends = judged.where("state <> 'whole' OR word IS NOT NULL")
     for measure in ("chars", "bytes"):
         own = near.where(F.col("measure") == measure).select("src", F.col("length").alias(measure), F.col("below").alias(f"{measure}_below"))
         open_ends = open_ends.join(own, ["src", measure], "left")
@@ -181,13 +188,16 @@ def truncated(documents: DataFrame) -> DataFrame:
     share = F.coalesce(F.col("final") / F.col("seen"), F.lit(0.0))
     state = F.col("state")
     at_limit = below.isNotNull()
+    exactly = F.coalesce(below == 0, F.lit(False))
     unlikely = share < F.when(at_limit, RARELY_AT_LIMIT).otherwise(RARELY)
     cut = (
         state.isin("cut", "prose")
         | ((state == "dotted") & (at_limit | unlikely))
         | ((state == "list") & unlikely)
-        # who types without full stops may end with any word, so this one must be well known
-        | ((state == "informal") & unlikely & (F.col("seen") >= KNOWN))
+        # who types without full stops may end with any word, so this one must be well known; at the
+        # length of a limit an unknown one is a part of a word
+        | ((state == "informal") & unlikely & (exactly | (F.col("seen") >= KNOWN)))
+        | ((state == "whole") & unlikely & exactly)
         # a name that signs texts is seen at the end of texts only
         | ((state == "name") & (at_limit | ((F.col("seen") > 2) & (F.col("last") * 2 < F.col("seen")))))
     )

@@ -48,3 +48,16 @@ def test_found_and_report(spark):
     report = {r.source: r for r in T.truncation_report(df, found).collect()}
     assert sum(r.cut for r in report.values()) == len(want) and sum(r.documents for r in report.values()) == len(rows)
     assert T.truncated(df.limit(0)).count() == 0
+
+
+def test_openers_of_closing_lines_begin_sentences_too(spark):
+    assert T.ending("By contrast, the repeatable drone pass predicts the rou") == ("prose", "rou")
+    assert T.ending("It is done.\n\nRelated work on the slow kiln was read by all of th") == ("prose", "th")
+    assert [T.ending(f"Done.\n\n{t}")[0] for t in ("By Anna Lind", "Source: the long chart of a kiln and its glaze", "License")] == ["whole"] * 3
+    random.seed(2)
+    whole = [text(random.randint(3, 12)) for _ in range(400)]
+    cut = [f"By contrast, {t}"[:200] for t in {text(9, " and") for _ in range(20)}] + [f"so {t}".lower()[:196] + f"xq{i:02}" for i, t in enumerate({text(9, ",") for _ in range(20)})]
+    tags = [text(3) + f"\n\nTags: kiln, own{i}" for i in range(5)]
+    rows = [(i, t, "s") for i, t in enumerate([*whole, *cut, *tags])]
+    found = T.truncated(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    assert {r.doc_id for r in found.collect()} == {i for i, t, _ in rows if t in set(cut)}
