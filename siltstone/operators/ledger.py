@@ -31,10 +31,13 @@ def kind_status_matrix(ledger: DataFrame) -> DataFrame:
     return state.groupBy("kind").agg(*sums)
 
 
-def item_links(items: DataFrame) -> DataFrame:
-    """One row per link of an item: item, position, link, hash, kind."""
+def item_links(items: DataFrame, site=None) -> DataFrame:
+    """One row per link of an item: item, position, link, hash, kind.
+
+    ``site`` gives, for a column of links, those whose hosts tell the kind, where these are others.
+    """
     each = items.select(F.col("id").alias("item"), F.posexplode("urls").alias("pos", "url")).where("url IS NOT NULL")
-    return each.withColumn("hash", urls.link_hash(F.col("url"))).withColumn("kind", urls.fetch_kind(F.col("url")))
+    return each.withColumn("hash", urls.link_hash(F.col("url"))).withColumn("kind", urls.fetch_kind(site(F.col("url")) if site else F.col("url")))
 
 
 def first_owners(links: DataFrame) -> DataFrame:
@@ -43,24 +46,24 @@ def first_owners(links: DataFrame) -> DataFrame:
     return first.select("hash", "o.item", "o.pos", "o.url", "o.kind")
 
 
-def worklist(items: DataFrame, ledger: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+def worklist(items: DataFrame, ledger: DataFrame, kinds: list[str] | None = None, site=None) -> DataFrame:
     """Links still to be fetched, each under its first item of the wanted kinds.
 
     The order matters: kinds first, then first owners, then the ledger, so
     that a link whose first mention is of another kind is not lost.
     """
-    wanted = item_links(items).where(F.col("kind").isin(kinds or KINDS))
+    wanted = item_links(items, site).where(F.col("kind").isin(kinds or KINDS))
     settled = compact(ledger).where(F.col("status").isin(TERMINAL)).select("hash")
     return first_owners(wanted).join(settled, "hash", "left_anti")
 
 
-def pending_by_kind(items: DataFrame, ledger: DataFrame) -> DataFrame:
-    return worklist(items, ledger).groupBy("kind").agg(F.count(F.lit(1)).alias("pending"))
+def pending_by_kind(items: DataFrame, ledger: DataFrame, kinds: list[str] | None = None, site=None) -> DataFrame:
+    return worklist(items, ledger, kinds, site).groupBy("kind").agg(F.count(F.lit(1)).alias("pending"))
 
 
-def first_work(items: DataFrame, ledger: DataFrame, limit: int) -> DataFrame:
+def first_work(items: DataFrame, ledger: DataFrame, limit: int, kinds: list[str] | None = None, site=None) -> DataFrame:
     """The first ``limit`` links of the work list, in the order of items."""
-    return worklist(items, ledger).orderBy("item", "pos").limit(limit)
+    return worklist(items, ledger, kinds, site).orderBy("item", "pos").limit(limit)
 
 
 def caption_queue(items: DataFrame, ledger: DataFrame) -> DataFrame:

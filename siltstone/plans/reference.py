@@ -18,6 +18,8 @@ ORACLES: dict[str, str] = {}
 HOSTS = {
     "tubelane": "youtube.com", "codenest": "github.com", "papershelf": "arxiv.org", "chirper": "x.com",
 }
+#: Kinds that these hosts stand for.
+SITE_KINDS = ["youtube", "github", "paper", "tweet"]
 #: Domains that count as one's own in these queries.
 DOMAINS = ["amberjournal.example", "kelpledger.example"]
 
@@ -65,6 +67,19 @@ _WORK = f"""WITH {_LINKS}, {_COMPACT}, {_OWNERS}, work AS (
   SELECT o.hash, o.item, o.pos, 'blog' AS kind FROM owners o
   WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.hash = o.hash AND s.status IN ('done', 'dead', 'skipped', 'nocaptions', 'manual'))
 )"""
+# the same for some kinds, told by the real hosts; hashes are of the links as given, as in the ledger
+_SITE = f"regexp_replace(lower(regexp_extract({_real('url')}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www[.]', '')"
+_WORK_OF_KINDS = f"""WITH {_LINKS}, {_COMPACT}, kinds AS (
+  SELECT *, CASE WHEN {_SITE} IN ('youtube.com', 'youtu.be') THEN 'youtube' WHEN {_SITE} IN ('github.com', 'gist.github.com') THEN 'github'
+    WHEN {_SITE} IN ('arxiv.org', 'openreview.net') OR contains({_real('url')}, 'huggingface.co/papers') THEN 'paper'
+    WHEN {_SITE} IN ('x.com', 'twitter.com') THEN 'tweet' ELSE 'blog' END AS kind FROM links
+), owners AS (
+  SELECT hash, arg_min(item, (item, pos, url)) AS item, arg_min(pos, (item, pos, url)) AS pos, arg_min(kind, (item, pos, url)) AS kind
+  FROM kinds WHERE kind IN ('youtube', 'github', 'paper', 'tweet') GROUP BY hash
+), work AS (
+  SELECT hash, item, pos, kind FROM owners o
+  WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.hash = o.hash AND s.status IN ('done', 'dead', 'skipped', 'nocaptions', 'manual'))
+)"""
 _PAGES = """pages AS (
   SELECT name, max_by(section, k) AS section, max_by(coalesce(topic, '~'), k) AS topic, max_by(coalesce(generated, '~'), k) AS generated,
     max_by(coalesce(text, ''), k) AS text
@@ -302,6 +317,38 @@ def fetch_progress(spark: SparkSession, d: str) -> DataFrame:
     return ledger.progress(work).groupBy("kind").agg(F.count(F.lit(1)).alias("reports"))
 
 
+def _work_of_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.worklist(table(spark, d, "corpus"), table(spark, d, "enrichment_ledger"), SITE_KINDS, _real_hosts)
+
+
+@query(_WORK_OF_KINDS + " SELECT kind, count(*) AS pending FROM work GROUP BY 1")
+def pending_of_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.pending_by_kind(table(spark, d, "corpus"), table(spark, d, "enrichment_ledger"), SITE_KINDS, _real_hosts)
+
+
+@query(_WORK_OF_KINDS + " SELECT hash, item, kind FROM work")
+def worklist_of_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return _work_of_kinds(spark, d).select("hash", "item", "kind")
+
+
+@query(_WORK_OF_KINDS + " SELECT hash, item, kind FROM work ORDER BY item, pos LIMIT 25")
+def first_work_of_kinds(spark: SparkSession, d: str) -> DataFrame:
+    first = ledger.first_work(table(spark, d, "corpus"), table(spark, d, "enrichment_ledger"), 25, SITE_KINDS, _real_hosts)
+    return first.select("hash", "item", "kind")
+
+
+@query(_WORK_OF_KINDS + f""", stored AS (SELECT DISTINCT left(sha1({_canon('url')}), 10) AS hash FROM enrichment WHERE body IS NOT NULL AND url IS NOT NULL)
+SELECT kind, CASE WHEN hash IN (SELECT hash FROM stored) THEN 'done' ELSE 'dead' END AS status, count(*) AS links FROM work GROUP BY 1, 2""")
+def fetch_offline_of_kinds(spark: SparkSession, d: str) -> DataFrame:
+    fetched = inbox.fetch_from(_work_of_kinds(spark, d), table(spark, d, "enrichment"))
+    return fetched.groupBy("kind", "status").agg(F.count(F.lit(1)).alias("links"))
+
+
+@query(_WORK_OF_KINDS + " SELECT kind, count(*) // 25 AS reports FROM work GROUP BY 1 HAVING count(*) >= 25")
+def fetch_progress_of_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.progress(_work_of_kinds(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("reports"))
+
+
 # ---- clusters and items --------------------------------------------------
 
 _POSTS = """raw AS (SELECT channel, id, pos, type, author.id AS author, ingested_at, reference.messageId AS ref, content,

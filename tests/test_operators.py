@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.functions import urls
 from siltstone.operators import chains, clusters, integrity, items, ledger, media, members, orphans, ranking, skew
+from siltstone.plans import reference
 from siltstone.streaming import inbox
 
 
@@ -279,3 +281,13 @@ def test_lengths_and_states(spark):
     got = df.select(media.long_enough(F.col("k"), F.col("b")).alias("l"), media.sound_state(F.col("n")).alias("s"), media.first_answer(F.lit(None).cast("string"), F.col("b")).isNotNull().alias("f")).collect()
     assert [r.l for r in got] == [True, False, True, True, False] and [r.s for r in got] == [None, "toolong", "error", None, None]
     assert [r.f for r in got] == [False, False, True, True, False]
+
+
+def test_work_of_several_kinds(spark):
+    corpus = spark.createDataFrame([("a", ["https://m.tubelane.example/1", "https://x.example/2"]), ("b", ["https://tubelane.example/1"]), ("c", ["https://codenest.example/u/r", "https://tubelane.example/9"])], "id string, urls array<string>")
+    # an entry of the link as it is given settles it
+    settled = urls.link_hash(F.lit("https://tubelane.example/9")).alias("hash")
+    lines = spark.range(1).select(settled, F.lit("u").alias("url"), F.lit("youtube").alias("kind"), F.lit("done").alias("status"), F.lit(1).cast("bigint").alias("seq"))
+    work = ledger.worklist(corpus, lines, reference.SITE_KINDS, reference._real_hosts)
+    # the first mention of tubelane's link is of another kind
+    assert sorted((r.item, r.kind) for r in work.collect()) == [("b", "youtube"), ("c", "github")]
