@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import urls
+from siltstone.operators.ranking import distributed_row_number
+from siltstone.session import materialize
 
 #: States in which a link is not fetched again.
 TERMINAL = ["done", "dead", "skipped", "nocaptions", "manual"]
@@ -82,5 +84,6 @@ def ledger_lines(results: DataFrame, date) -> DataFrame:
 
 def progress(work: DataFrame, every: int = 25) -> DataFrame:
     """Every ``every``-th link of the work list with its number, by kind."""
-    numbered = work.withColumn("i", F.row_number().over(Window.partitionBy("kind").orderBy("item", "pos")))
+    work = materialize(work.select("kind", "item", "pos", "hash"), "work")
+    numbered = distributed_row_number(work, ["kind"], ["item", "pos"], "i")
     return numbered.where(F.col("i") % every == 0).select("kind", "i", "hash")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.integrity import cited
+from siltstone.operators.ranking import distributed_row_number
+from siltstone.session import materialize
 
 
 def recall(items: DataFrame, pages: DataFrame, keywords: list[str], since: str | None = None, until: str | None = None) -> DataFrame:
@@ -39,8 +41,11 @@ def top(df: DataFrame, metric: str, key: str, k: int) -> DataFrame:
 
 def waves(items: DataFrame, size: int) -> DataFrame:
     """(wave, items, first, last): items of each channel cut into waves of ``size`` by date and id."""
-    order = Window.partitionBy("channel", F.substring("date", 1, 7)).orderBy("date", "id")
-    numbered = items.withColumn("part", F.floor((F.row_number().over(order) - 1) / size))
-    return numbered.groupBy("channel", F.substring("date", 1, 7).alias("month"), "part").agg(
+    # null channels and months are groups too, other than blank ones
+    keyed = items.select("channel", F.substring("date", 1, 7).alias("month"), "date", "id").withColumns(
+        {f"{c}_key": F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in ("channel", "month")}
+    )
+    numbered = distributed_row_number(materialize(keyed, "waves"), ["channel_key", "month_key"], ["date", "id"], "i")
+    return numbered.groupBy("channel", "month", F.floor((F.col("i") - 1) / size).alias("part")).agg(
         F.count(F.lit(1)).alias("items"), F.min("id").alias("first"), F.max("id").alias("last")
     )

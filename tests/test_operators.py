@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import urls
-from siltstone.operators import chains, clusters, integrity, items, ledger, media, members, orphans, ranking, skew
+from siltstone.operators import chains, clusters, integrity, items, ledger, media, members, orphans, ranking, recall, skew
 from siltstone.plans import reference
 from siltstone.streaming import inbox
 
@@ -291,3 +291,19 @@ def test_work_of_several_kinds(spark):
     work = ledger.worklist(corpus, lines, reference.SITE_KINDS, reference._real_hosts)
     # the first mention of tubelane's link is of another kind
     assert sorted((r.item, r.kind) for r in work.collect()) == [("b", "youtube"), ("c", "github")]
+
+
+def test_hot_kinds_and_months_are_numbered_in_parts(spark, monkeypatch):
+    cut = []
+    in_parts = ranking._in_parts
+    monkeypatch.setattr(ranking, "GROUP_ROWS", 20)
+    monkeypatch.setattr(ranking, "_in_parts", lambda df, by, *more: cut.append(by) or in_parts(df, by, *more))
+    work = spark.createDataFrame([("blog" if i % 5 else "paper", f"i{i:03}", 0, f"h{i}") for i in range(100)], "kind string, item string, pos int, hash string")
+    assert rows(ledger.progress(work, 25)) == [("blog", 25, "h31"), ("blog", 50, "h62"), ("blog", 75, "h93")]
+    posts = [(c, d, f"{c}{i:03}") for c in ("a", None, "") for d in ("2024-01-02", None) for i in range(30 if c is None else 3)]
+    got = recall.waves(spark.createDataFrame(posts, "channel string, date string, id string"), 20)
+    assert sorted((str(r.channel), str(r.month), r.part, r["items"], r.first[-3:], r.last[-3:]) for r in got.select("channel", "month", "part", "items", "first", "last").collect()) == sorted(
+        [(c, m, 0, 3, "000", "002") for c in ("a", "") for m in ("2024-01", "None")]
+        + [("None", m, p, n, a, b) for m in ("2024-01", "None") for p, n, a, b in ((0, 20, "000", "019"), (1, 10, "020", "029"))]
+    )
+    assert cut == [["kind"], ["channel_key", "month_key"]]
