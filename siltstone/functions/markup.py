@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siltstone.session import task_udf
+
 #: Parts of a page that hold no article, and parts that stand on lines of their own.
 SKIPPED = {"script", "style", "nav", "footer", "header", "aside", "form", "noscript", "template", "svg", "head"}
 BLOCKS = set("p div section article main li ul ol h1 h2 h3 h4 h5 h6 tr table blockquote pre figure figcaption br hr dd dt".split())
@@ -96,7 +98,7 @@ def page_text(page: str) -> str:
 def article_text(page: Column) -> Column:
     """``page_text`` of a column; null stays null."""
 
-    @F.arrow_udf("string")
+    @task_udf("string")
     def of(pages: pa.Array) -> pa.Array:
         return pa.array([None if p is None else page_text(p) for p in pages.to_pylist()], pa.string())
 

@@ -12,6 +12,8 @@ TWEET_HOSTS = ["x.com", "twitter.com"]
 PAPER_PATH = "huggingface.co/papers"
 #: A link in running text; full stops and commas after it do not belong to it.
 LINK = r"https?://[^\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}>\)\]]+"
+#: Fixed value: a capture's asset lives at an address of this shape.
+ASSET = r"^https://api\.github\.com/repos/[^/]+/[^/]+/releases/assets/\d+$"
 
 
 def _part(url: Column, pattern: str) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text, urls
-from siltstone.streaming.inbox import ASSET
 
 #: Bytes of sound that can be transcribed, and characters a text must have.
 MOST_SOUND = 24_000_000
@@ -30,7 +29,7 @@ def asset_outcomes(captures: DataFrame, assets: DataFrame, stored: DataFrame) ->
     rows = rows.join(held, "media", "left")
     here = F.col("held").isNotNull()
     outcome = (
-        F.when(~F.col("asset").rlike(ASSET), "malformed").when(F.col("name").isNull(), "nameless")
+        F.when(~F.col("asset").rlike(urls.ASSET), "malformed").when(F.col("name").isNull(), "nameless")
         .when((F.col("code") == 404) & here, "present").when(F.col("code") == 404, "gone")
         .when(F.col("code").isNull() | (F.col("code") != 200), "unreachable")
         .when(here & (F.col("held") == F.col("asset_size")), "present").otherwise("download")

@@ -11,9 +11,11 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_scratch: dict[str, SparkSession] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,7 +38,25 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
+    """A new name in this application's own part of the shared folder."""
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = spark
+        atexit.register(clear_scratch, spark)
+    return f"{scratch_root(spark)}/siltstone/{app}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables of this application; results that still read them must be written or collected before.
+
+    Called when the driver's Python ends; a long-lived application calls it between queries.
+    """
+    try:
+        app = spark.sparkContext.applicationId
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/siltstone/{app}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session may have ended before
+        return
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
@@ -57,13 +77,17 @@ def width(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a CPU-heavy stage over a scan at least one partition per core.
+    """Give a CPU-heavy stage at least one partition per core.
 
-    A scan that already has as many splits is left alone, so that large
-    inputs are not shuffled.
+    Rows that the planner takes to be as many bytes as that many input splits
+    are left where they are, so that large inputs are not shuffled.  Nothing
+    is executed to find out.
     """
-    n = width(df.sparkSession)
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+    spark = df.sparkSession
+    n = width(spark)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df if size >= n * split else df.repartition(n)
 
 
 def ship(spark: SparkSession) -> None:
@@ -85,6 +109,11 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
 
 
+def task_udf(returns: str):
+    """``F.arrow_udf`` for functions of this package, which is sent to the workers first."""
+    ship(SparkSession.active())
+    return F.arrow_udf(returns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

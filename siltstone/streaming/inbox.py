@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text, urls
+from siltstone.operators.media import CAPS
+from siltstone.session import ship
 
 #: (status, meta, body) of a link; what it raises becomes status error.
 Fetcher = Callable[[str], tuple[str, dict[str, str], str]]
 FETCHED = "hash string, url string, kind string, item string, status string, meta map<string,string>, body string"
-#: A capture's asset lives at an address of this shape.
-ASSET = r"^https://api\.github\.com/repos/[^/]+/[^/]+/releases/assets/\d+$"
+FETCHED_COLUMNS = ["hash", "url", "kind", "item", "status", "meta", "body"]
 
 
 def captures(files: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def captures(files: DataFrame) -> DataFrame:
     return note.select(
         "file", text.capture_id(link, F.col("file")).alias("short_id"), link.alias("url"),
         F.col("note.fields")["asset"].alias("asset"), F.col("note.fields")["name"].alias("name"),
-        F.coalesce(F.col("note.fields")["asset"].rlike(ASSET), F.lit(True)).alias("sound"), F.col("note.body").alias("body"),
+        F.coalesce(F.col("note.fields")["asset"].rlike(urls.ASSET), F.lit(True)).alias("sound"), F.col("note.body").alias("body"),
     )
 
 
@@ -52,27 +53,31 @@ def drain(spark: SparkSession, inbox: str, out: str, checkpoint: str, archive: s
     return len(batches)
 
 
+def outcome(link: pd.Series, fetchers: dict[str, Fetcher]) -> dict:
+    """What became of one link, as a row of FETCHED.  Any failure of its fetcher is a state of the link."""
+    row = {"hash": link["hash"], "url": link["url"], "kind": link["kind"], "item": link["item"], "status": "skipped", "meta": {}, "body": ""}
+    if link["kind"] in fetchers:
+        try:
+            row["status"], row["meta"], row["body"] = fetchers[link["kind"]](link["url"])
+        except Exception as failure:  # noqa: BLE001
+            row |= {"status": "error", "meta": {"error": str(failure)[:CAPS["error"]]}}
+    return row
+
+
 def fetch(work: DataFrame, fetchers: dict[str, Fetcher], connections: int | None = None) -> DataFrame:
     """Fetch links (hash, url, kind, item) with the fetcher of their kind, on the executors.
 
-    ``connections`` limits how many partitions fetch at a time.  A kind
-    without fetcher is skipped.
+    ``connections`` limits how many partitions fetch at a time, without
+    narrowing the stages before.  A kind without fetcher is skipped.
     """
-    if connections:
-        work = work.coalesce(connections)
+    ship(work.sparkSession)
+    work = work.select("hash", "url", "kind", "item")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for link in batch.itertuples(index=False):
-                try:
-                    status, meta, body = fetchers[link.kind](link.url) if link.kind in fetchers else ("skipped", {}, "")
-                except Exception as e:  # noqa: BLE001 - any failure of a fetch is a state of its link
-                    status, meta, body = "error", {"error": str(e)[:150]}, ""
-                rows.append((link.hash, link.url, link.kind, link.item, status, meta, body))
-            yield pd.DataFrame(rows, columns=["hash", "url", "kind", "item", "status", "meta", "body"])
-
-    return work.select("hash", "url", "kind", "item").mapInPandas(run, FETCHED)
+            yield pd.DataFrame([outcome(link, fetchers) for _, link in batch.iterrows()], columns=FETCHED_COLUMNS)
+
+    return (work.repartition(connections) if connections else work).mapInPandas(run, FETCHED)
 
 
 def fetch_from(work: DataFrame, stored: DataFrame) -> DataFrame:
