@@ -4,7 +4,9 @@ Names are read into parts (family and given name, or head and words of an
 organisation).  Parts that differ by one typing error are found with a radius
 join in a metric space: pivots cut the space into cells, names near a border
 are repeated in the neighbouring cells as the triangle inequality asks, and
-every cell is joined exactly under an edit distance.
+every cell is joined exactly under an edit distance.  Account names that spell
+a name (``jane.doe``, ``doej4``, ``quartz-snk``) belong to it if it is the only
+one they can spell.
 """
 
 from __future__ import annotations
@@ -16,14 +18,19 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.session import materialize, spread
+from siltstone.session import materialize, spread, task_udf
 
 #: Number of pivots; each name is repeated in less than this many cells.
 PIVOTS = 8
 #: Parts shorter than these are allowed no error, and one error; longer ones two.
 SHORTEST = {"family": (4, 8), "given": (3, 99)}
+#: A given name is taken for another one misspelt if at most this share of the other's families use it.
+MISSPELT = 0.05
+#: Letters of the shortest family name that is looked for inside an account name without separators.
+SHORTEST_GLUED = 4
 
-# Short forms of given names, without accents; several full names make a short form ambiguous.
+# Common short forms of given names, without accents; several full names make a short form ambiguous.
+# Short forms that are the beginning of a name (three letters or more) need no entry, see ``_short_links``.
 SHORT_FORMS = """
 abby:abigail|gail:abigail|alex:alexander,alexandra|sasha:alexander,alexandra|sandy:alexander,alexandra|andi:andreas|andy:andrew,andreas
 tony:anthony|ant:anthony|ben:benjamin|benji:benjamin|benny:benjamin|lottie:charlotte|charlie:charles,charlotte|chuck:charles
@@ -57,7 +64,10 @@ JOINERS = {"of", "for", "o", "f", "the", "and", "de", "für", "fur", "der", "des
 TITLES = {"dr", "prof", "mr", "mrs", "ms", "miss", "sir", "herr", "frau", "mme", "mlle", "sr", "sra", "dipl", "ing", "rev"}
 SUFFIXES = {"e.v", "ev", "inc", "ltd", "llc", "gmbh", "ag", "co", "jr", "phd", "ph.d", "md", "esq", "plc"}
 
-PARTS = "struct<kind:string,first:string,second:string,sure:boolean>"
+# How letters are written where marks above them are missing.
+WRITTEN_OUT = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "æ": "ae", "ø": "oe", "å": "aa"}
+
+PARTS = "struct<kind:string,first:string,second:string,sure:boolean,first_alt:string,second_alt:string,spelt:array<string>>"
 
 
 def fold(token: str) -> str:
@@ -129,14 +139,68 @@ def read_name(spelling: str) -> tuple[str, str, str, bool] | None:
     return None
 
 
+def written_out(spelling: str) -> str:
+    """A spelling in lower case with WRITTEN_OUT for letters with marks."""
+    return "".join(WRITTEN_OUT.get(c, c) for c in unicodedata.normalize("NFC", spelling.casefold()))
+
+
+def read_account(spelling: str) -> tuple[str, str] | None:
+    """The parts an account name is made of, without the number behind it; the second is empty without separators.
+
+    Of more than two parts the last stands alone.  None for what has other
+    marks than separators, and for what is not written in lower case.
+    """
+    s = unicodedata.normalize("NFKC", spelling)
+    if not regex.fullmatch(r"[\p{Ll}\p{Lo}\p{M}]+(?:[._-][\p{Ll}\p{Lo}\p{M}]+)*[._-]?\d*", s):
+        return None
+    parts = [fold(p) for p in regex.split(r"[._-]", regex.sub(r"[._-]?\d+$", "", s)) if p]
+    return ("".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (parts[0], "")
+
+
+def spellable(account: tuple[str, str]) -> list[str]:
+    """Keys of all names an account name can spell: a person's family and given name or its initial in either
+    order, an organisation's head and initials."""
+    a, b = account
+    halves = [(a, b)] if b else [(a[:i], a[i:]) for i in range(1, len(a))]
+    least = 1 if b else SHORTEST_GLUED
+    keys = {_spelt("p", f, g) for x, y in halves for f, g in ((x, y), (y, x)) if len(f) >= least}
+    keys |= {_spelt("o", x, "".join(sorted(y))) for x, y in halves if len(x) >= least and 2 <= len(y) <= 6}
+    return sorted(keys)
+
+
+def _spelt(*parts: str) -> str:
+    return "\t".join(parts)
+
+
+def _read(spelling: str) -> tuple:
+    """A row of PARTS: a name's parts, also as an account name writes them, or what an account name can spell."""
+    read = read_name(spelling)
+    if read:
+        out = read_name(written_out(spelling)) if written_out(spelling) != spelling.casefold() else None
+        alt = out[1:3] if out and out[0] == read[0] else read[1:3]
+        if read[0] == "person" and read[2].endswith("."):
+            alt = (alt[0], read[2])
+        return (*read, *alt, None)
+    account = read_account(spelling)
+    if not account:
+        return (None,) * 7
+    a, b = account
+    if not b:
+        return ("glued", None, None, None, None, None, spellable(account))
+    if min(len(a), len(b)) > 1:
+        # one of them may be a given name: read as "given family", in an order that is not sure
+        return ("account", b, a, False, b, a, spellable(account))
+    family, given = (a, b) if len(b) == 1 else (b, a)
+    return ("person", family, given + ".", True, family, given + ".", None) if len(family) > 1 else (None,) * 7
+
+
 def _parts(name: Column) -> Column:
-    @F.arrow_udf(PARTS)
+    @task_udf(PARTS)
     def read(names: pa.Array) -> pa.Array:
-        rows = [read_name(n) or (None, None, None, None) for n in names.to_pylist()]
-        kinds = (pa.string(), pa.string(), pa.string(), pa.bool_())
-        return pa.StructArray.from_arrays(
-            [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["kind", "first", "second", "sure"]
-        )
+        rows = [_read(n) for n in names.to_pylist()]
+        kinds = (*[pa.string()] * 3, pa.bool_(), *[pa.string()] * 2, pa.list_(pa.string()))
+        fields = [part.split(":")[0] for part in PARTS.removeprefix("struct<").removesuffix(">").split(",")]
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], fields)
 
     # else a filter on the result would move the reading below the repartition that spreads it
     return read.asNondeterministic()(name)
@@ -165,7 +229,7 @@ def edit_distance(a: str, b: str) -> int:
 
 
 def _distance(a: Column, b: Column) -> Column:
-    @F.arrow_udf("int")
+    @task_udf("int")
     def of(left: pa.Array, right: pa.Array) -> pa.Array:
         return pa.array([edit_distance(x, y) for x, y in zip(left.to_pylist(), right.to_pylist())], pa.int32())
 
@@ -204,7 +268,7 @@ def radius_links(keys: DataFrame, shortest: tuple[int, int], pivots: int = PIVOT
     long = F.length("key") >= shortest[1]
     radius = F.when(long, 4).otherwise(2)
     far = F.array(*[F.levenshtein(F.col("key"), F.lit(p)) for p in chosen])
-    placed = keys.withColumn("far", far).withColumn("home", F.array_position("far", F.array_min("far")) - 1)
+    placed = spread(keys).withColumn("far", far).withColumn("home", F.array_position("far", F.array_min("far")) - 1)
     cells = F.filter(
         F.sequence(F.lit(0).cast("bigint"), F.col("home")),
         lambda j: F.element_at("far", (j + 1).cast("int")) <= F.array_min("far") + 2 * radius,
@@ -258,28 +322,76 @@ def _given_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "short string, full string")
 
 
-def _persons(parsed: DataFrame) -> DataFrame:
-    """(name, family, given) with the order of parts settled by how each part is used elsewhere."""
-    people = parsed.where("kind = 'person'")
-    sure = people.where("sure AND second NOT LIKE '%.'")
-    used = (
-        sure.select(F.col("second").alias("part"), F.lit(1).alias("g"))
-        .unionByName(people.where("sure").select(F.col("first").alias("part"), F.lit(-1).alias("g")))
-        .groupBy("part").agg(F.sum("g").alias("givenness"))
+def _persons(people: DataFrame) -> DataFrame:
+    """(name, family, given, and both as an account name writes them) with the order of parts settled.
+
+    What is said for sure elsewhere counts first: uses as a given name less
+    uses as a family name.  Where that says nothing, the given name is the
+    part that goes with more than twice as many other parts, and with more
+    than any of them does (a family goes with a given name that goes with many).
+    """
+    said = people.where("sure").select(F.col("first").alias("part"), F.lit(-1).alias("g")).unionByName(
+        people.where("sure AND second NOT LIKE '%.'").select(F.col("second").alias("part"), F.lit(1).alias("g"))
+    ).groupBy("part").agg(F.sum("g").alias("given"))
+    pairs = materialize(people.where("second NOT LIKE '%.'").select(F.explode(F.array(
+        F.struct(F.col("first").alias("part"), F.col("second").alias("other")), F.struct(F.col("second").alias("part"), F.col("first").alias("other"))
+    )).alias("p")).select("p.part", "p.other").distinct(), "pairs")
+    others = pairs.groupBy("part").agg(F.count(F.lit(1)).alias("others"))
+    beside = others.withColumnsRenamed({"part": "other", "others": "beside"})
+    lead = pairs.join(beside, "other").groupBy("part").agg(F.count(F.lit(1)).alias("others"), (F.count(F.lit(1)) - F.max("beside")).alias("lead"))
+    used = materialize(lead.join(said, "part", "left").select("part", "others", "lead", F.coalesce("given", F.lit(0)).alias("given")), "used")
+    placed = people.join(used.select(F.col("part").alias("first"), F.struct("given", "lead", "others").alias("f")), "first", "left").join(
+        used.select(F.col("part").alias("second"), F.struct("given", "lead", "others").alias("s")), "second", "left"
     )
-    first = used.select(F.col("part").alias("first"), F.col("givenness").alias("f_given"))
-    second = used.select(F.col("part").alias("second"), F.col("givenness").alias("s_given"))
-    placed = people.join(first, "first", "left").join(second, "second", "left")
-    swap = ~F.col("sure") & (F.coalesce("f_given", F.lit(0)) > F.coalesce("s_given", F.lit(0)))
+    more = (F.col("f.lead") > F.col("s.lead")) & (F.col("f.others") > 2 * F.col("s.others"))
+    swap = F.coalesce(~F.col("sure") & F.when(F.col("f.given") == F.col("s.given"), more).otherwise(F.col("f.given") > F.col("s.given")), F.lit(False))
+    pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
     return placed.select(
-        "name",
-        F.when(swap, F.col("second")).otherwise(F.col("first")).alias("family"),
-        F.when(swap, F.col("first")).otherwise(F.col("second")).alias("given"),
+        "name", pick("first", "second").alias("family"), pick("second", "first").alias("given"),
+        pick("first_alt", "second_alt").alias("family_alt"), pick("second_alt", "first_alt").alias("given_alt"),
+    )
+
+
+def _misspelt_givens(full: DataFrame) -> DataFrame:
+    """(a, b): given names one error apart of which one is hardly ever used with another family.
+
+    Only shares count, so a table ten times as long gives the same answer.
+    """
+    families = materialize(full.groupBy("given").agg(F.count_distinct("family").alias("n")), "givens")
+    links = radius_links(families.select(F.lit("").alias("space"), F.col("given").alias("key")), SHORTEST["given"])
+    return (
+        links.join(families.select(F.col("given").alias("a"), (F.col("n") - 1).alias("na")), "a")
+        .join(families.select(F.col("given").alias("b"), (F.col("n") - 1).alias("nb")), "b")
+        .where(F.least("na", "nb") <= MISSPELT * F.greatest("na", "nb")).select("a", "b")
+    )
+
+
+def _short_links(u: DataFrame, w: DataFrame, families: DataFrame, several: DataFrame) -> DataFrame:
+    """(u, v): nodes with a short given name, and the only full name of their family that it can stand for.
+
+    A full name is one of ``several`` (short, full), or begins with the short
+    name.  A family one error away counts if the family itself has none.
+    """
+    listed = u.join(several, u["given"] == several["short"]).select("a", "space", "u", F.col("full").alias("b"))
+    near = families.select("space", "a", F.col("b").alias("family"))
+    begun = lambda x: x.where((F.length("given") >= 3) & F.startswith("b", "given") & (F.length("b") > F.length("given") + 1))
+    at_home = w.select(F.col("family").alias("a"), "b", "v")
+    found = (
+        listed.join(at_home, ["a", "b"]).select("u", "v", F.lit(0).alias("away"))
+        .unionByName(begun(u.join(at_home, "a")).select("u", "v", F.lit(0).alias("away")))
+        .unionByName(listed.join(near, ["space", "a"]).join(w, ["family", "b"]).select("u", "v", F.lit(1).alias("away")))
+        .unionByName(begun(u.join(near, ["space", "a"]).join(w, "family")).select("u", "v", F.lit(1).alias("away")))
     )
+    # of the nearest there must be one only
+    each = found.groupBy("u", "away").agg(F.count_distinct("v").alias("n"), F.min("v").alias("v"))
+    return each.groupBy("u").agg(F.min_by(F.struct("n", "v"), "away").alias("k")).where("k.n = 1").select("u", "k.v")
+
 
+def _person_labels(people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, label) of persons, and (spelt, label): the keys by which an account name can mean them.
 
-def _person_labels(people: DataFrame) -> DataFrame:
-    """(name, label) of persons; names that could be several persons are left out."""
+    Initials that could be several persons are left out.
+    """
     spark = people.sparkSession
     # of the names a short form can stand for, those that are in use count
     used = people.select(F.col("given").alias("full")).distinct()
@@ -287,76 +399,73 @@ def _person_labels(people: DataFrame) -> DataFrame:
     single = shorts.groupBy("short").agg(F.count(F.lit(1)).alias("n"), F.max("full").alias("full")).where("n = 1").drop("n")
     people = materialize(
         people.join(F.broadcast(single), people["given"] == single["short"], "left")
-        .select("name", "family", F.coalesce("full", "given").alias("given")),
+        .select("name", "family", F.coalesce("full", "given").alias("given"), F.col("given").alias("written"), "family_alt", "given_alt"),
         "people",
     )
-    full = materialize(people.where("given NOT LIKE '%.'").groupBy("family", "given").agg(F.count(F.lit(1)).alias("n")), "forms")
+    full = materialize(people.where("given NOT LIKE '%.'").select("family", "given").distinct(), "forms")
     # families are compared among names with one initial
     letter = F.substring("given", 1, 1)
-    support = people.groupBy("family", letter.alias("space")).agg(F.count(F.lit(1)).alias("n"))
-    families = radius_links(support.select("space", F.col("family").alias("key")), SHORTEST["family"])
-    # two errors are believed if one of the spellings is rare
-    rare = (
-        families.where("distance = 2").join(support.select("space", F.col("family").alias("a"), F.col("n").alias("na")), ["space", "a"])
-        .join(support.select("space", F.col("family").alias("b"), F.col("n").alias("nb")), ["space", "b"])
-        .where("least(na, nb) <= 2").select("space", "a", "b")
+    families = materialize(
+        radius_links(people.select(letter.alias("space"), F.col("family").alias("key")), SHORTEST["family"]).withColumn(
+            "near", F.col("distance") == 1).select("space", "a", "b", "near"),
+        "families",
     )
-    near = families.where("distance = 1").select("space", "a", "b", F.lit(True).alias("near"))
-    families = materialize(near.unionByName(rare.withColumn("near", F.lit(False))), "families")
     families = families.unionByName(families.select("space", F.col("b").alias("a"), F.col("a").alias("b"), "near"))
-    commonness = full.groupBy("given").agg(F.count(F.lit(1)).alias("n"))
-    # a given name one error from another is that other name if it is rare beside it
-    given = radius_links(commonness.select(F.lit("").alias("space"), F.col("given").alias("key")), SHORTEST["given"])
-    given = (
-        given.join(commonness.select(F.col("given").alias("a"), F.col("n").alias("na")), "a")
-        .join(commonness.select(F.col("given").alias("b"), F.col("n").alias("nb")), "b")
-        .where("least(na, nb) <= 2 OR least(na, nb) * 20 <= greatest(na, nb)").select("a", "b")
-    )
+    given = materialize(_misspelt_givens(full), "misspelt")
     node = _node("p", "family", "given")
-    u = full.select("family", "given", node.alias("u"), letter.alias("space"))
+    u = full.select(F.col("family").alias("a"), "given", node.alias("u"), letter.alias("space"))
     v = full.select(F.col("family").alias("b"), "given", node.alias("v"), letter.alias("space"))
-    by_family = u.withColumnRenamed("family", "a").join(families.where("a < b"), ["space", "a"]).join(v, ["space", "b", "given"]).select("u", "v")
-    u = u.drop("space")
     w = full.select("family", F.col("given").alias("b"), node.alias("v"))
-    by_given = u.withColumnRenamed("given", "a").join(given, "a").join(w, ["family", "b"]).select("u", "v")
-    v = v.withColumnRenamed("given", "g")
+    by_family = u.join(families.where("a < b"), ["space", "a"]).join(v, ["space", "b", "given"]).select("u", "v")
+    by_given = u.withColumnsRenamed({"a": "family", "given": "a"}).join(given, "a").join(w, ["family", "b"]).select("u", "v")
     by_both = (
-        u.join(full.select("family", "given", letter.alias("space")), ["family", "given"]).withColumnRenamed("family", "a")
-        .join(families.where("near"), ["space", "a"]).join(given.select(F.col("a").alias("given"), F.col("b").alias("g")), "given")
-        .join(v, ["space", "b", "g"]).select("u", "v")
+        u.join(families.where("near"), ["space", "a"])
+        .join(given.select(F.col("a").alias("given"), F.col("b").alias("g")), "given")
+        .join(v.withColumnRenamed("given", "g"), ["space", "b", "g"]).select("u", "v")
     )
-    several = shorts.join(single, "short", "left_anti")
-    called = (
-        u.join(F.broadcast(several), u["given"] == several["short"])
-        .select("family", F.col("full").alias("b"), "u").join(w, ["family", "b"])
-        .groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("v")).where("n = 1").select("u", "v")
-    )
-    found = components(by_family.unionByName(by_given).unionByName(by_both).unionByName(called))
+    called = _short_links(u, w, families, F.broadcast(shorts.join(single, "short", "left_anti")))
+    written = people.where("family <> family_alt AND given NOT LIKE '%.'").select(
+        node.alias("u"), _node("p", "family_alt", "given").alias("v")).join(full.select(node.alias("v")), "v", "left_semi").select("u", "v")
+    found = components(by_family.unionByName(by_given).unionByName(by_both).unionByName(called).unionByName(written))
+    nodes = full.select("family", "given", node.alias("u"))
     labelled = materialize(
-        u.join(found, u["u"] == found["node"], "left")
-        .select("family", "given", F.coalesce("label", "u").alias("label"), F.substring("given", 1, 1).alias("letter")),
+        nodes.join(found, nodes["u"] == found["node"], "left")
+        .select("family", "given", F.coalesce("label", "u").alias("label"), letter.alias("letter")),
         "labelled",
     )
-    named = people.join(labelled, ["family", "given"]).select("name", "label")
+    named = people.join(labelled, ["family", "given"])
     # initials: the one person of that family they can mean, else of a family one error away
-    initials = people.where("given LIKE '%.'").select("name", "family", F.substring("given", 1, 1).alias("letter"))
+    initials = people.where("given LIKE '%.'").select("name", "family", "family_alt", letter.alias("letter"))
     at_home = labelled.groupBy("family", "letter").agg(F.count_distinct("label").alias("n"), F.max("label").alias("label"))
     near = (
         labelled.join(families.select(F.col("b").alias("family"), "a", F.col("space").alias("letter")), ["family", "letter"])
         .groupBy(F.col("a").alias("family"), "letter")
         .agg(F.count_distinct("label").alias("m"), F.max("label").alias("close"))
     )
-    initials = (
+    initials = materialize(
         initials.join(at_home, ["family", "letter"], "left").join(near, ["family", "letter"], "left")
         .withColumn("label", F.when(F.col("n") == 1, F.col("label")).when(F.col("n").isNull() & (F.col("m") == 1), F.col("close"))
                     .when(F.col("n").isNull() & F.col("m").isNull(), _node("i", "family", "letter")))
-        .where("label IS NOT NULL").select("name", "label")
+        .where("label IS NOT NULL").select("name", "family", "family_alt", "letter", "label"),
+        "initials",
+    )
+    families_of = F.array("family", "family_alt")
+    short_of = shorts.groupBy(F.col("full").alias("given")).agg(F.collect_set("short").alias("shorts"))
+    ways = (
+        named.join(F.broadcast(short_of), "given", "left")
+        .withColumn("f", F.explode(F.array_distinct(families_of)))
+        .withColumn("g", F.explode(F.array_distinct(F.concat(
+            F.array("given", "given_alt", "written", letter), F.coalesce("shorts", F.array().cast("array<string>"))))))
+        .select("label", "f", "g")
+    ).unionByName(
+        initials.withColumn("f", F.explode(F.array_distinct(families_of))).select("label", "f", F.col("letter").alias("g"))
     )
-    return named.unionByName(initials)
+    spelt = ways.select(_node("p", "f", "g").alias("spelt"), "label").distinct()
+    return named.select("name", "label").unionByName(initials.select("name", "label")), spelt
 
 
 def _org_labels(orgs: DataFrame) -> DataFrame:
-    """(name, label) of organisations: the same head (but for an error) and two initials in common."""
+    """(name, node, label) of organisations: the same head (but for an error) and two initials in common."""
     letters = F.col("letters")
     pairs = F.array_distinct(F.flatten(F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(letters) - 1, F.lit(1))),
@@ -378,23 +487,35 @@ def _org_labels(orgs: DataFrame) -> DataFrame:
     )
     found = components(same.unionByName(other))
     node = _node("o", "head", "letters")
-    return orgs.withColumn("node", node).join(found, "node", "left").select("name", F.coalesce("label", "node").alias("label"))
+    return orgs.withColumn("node", node).join(found, "node", "left").select("name", "node", F.coalesce("label", "node").alias("label"))
 
 
 def spelling_groups(names: DataFrame) -> DataFrame:
     """(name, label) for the distinct strings ``name``: equal labels mean one person or organisation.
 
-    Null and empty strings, accounts, placeholders and single words have no
-    row, nor have initials that fit several persons of a family.  Repeated
-    strings count once.
+    Null and empty strings, placeholders and single words have no row, nor
+    have initials that fit several persons of a family, nor account names
+    that can spell several names, or none.  Repeated strings count once.
     """
     spellings = spread(names.where("name IS NOT NULL AND name <> ''").distinct())
     parsed = materialize(
         spellings.select("name", _parts(F.col("name")).alias("p")).select("name", "p.*").where("kind IS NOT NULL"), "parsed"
     )
-    people = _person_labels(_persons(parsed))
     orgs = _org_labels(parsed.where("kind = 'org'").select("name", F.col("first").alias("head"), F.col("second").alias("letters")))
-    return people.unionByName(orgs)
+    orgs = materialize(orgs, "organisations")
+    org_keys = materialize(orgs.select(F.col("node").alias("spelt"), "label").distinct(), "spelt")
+    # account names with the initials of an organisation are no persons
+    accounts = parsed.where("kind = 'account'")
+    of_orgs = accounts.select("name", F.explode("spelt").alias("spelt")).join(org_keys, "spelt", "left_semi").select("name").distinct()
+    of_orgs = materialize(of_orgs, "accounts")
+    people = parsed.where("kind = 'person'").unionByName(accounts.join(of_orgs, "name", "left_anti")).drop("spelt", "kind")
+    persons, person_keys = _person_labels(_persons(people))
+    asked = parsed.where("kind = 'glued'").unionByName(accounts.join(of_orgs, "name", "left_semi"))
+    meant = (
+        asked.select("name", F.explode("spelt").alias("spelt")).join(person_keys.unionByName(org_keys), "spelt")
+        .groupBy("name").agg(F.count_distinct("label").alias("n"), F.min("label").alias("label")).where("n = 1").drop("n")
+    )
+    return persons.unionByName(orgs.select("name", "label")).unionByName(meant)
 
 
 def spelling_pairs(groups: DataFrame) -> DataFrame:

@@ -69,9 +69,42 @@ GROUPS = [
     ["Zoë Trabantovik", "Zoe Trabantovik", "Trabantovik, Z."],
     ["Harowend Society of Note Keeping", "The Harowend Society of Note Keeping", "Harowend SNK", "Note Keeping, Harowend Society", "Harowend Note Keeping", "Harowend Soc. of Note Keping"],
     ["Harowend Centre for Tidal Engineering", "Harowend Centre f. Tidal Engineering"],
-    ["Jonathan Velk", "Velk, Jonathan"], ["Johannes Velk", "Velk, Johannes"],
+    ["Jonathan Velk", "Velk, Jonathan", "jonathan.velk", "velkjonathan"], ["Johannes Velk", "Velk, Johannes", "velk-johannes7"],
 ]
-ALONE = ["J. Velk", "jonathan.velk", "Bob", "me", "?", "", None, "Dorothy Lonely", "Gwen Other", "Harold Quimberlund"]
+ALONE = ["J. Velk", "j.velk", "velkj4", "jvelk", "Bob", "me", "?", "", None, "Dorothy Lonely", "Gwen Other", "Harold Quimberlund"]
+
+
+def test_reading_of_accounts():
+    assert N.read_account("jane.doe") == N.read_account("jane_doe7") == N.read_account("jane-doe-12") == ("jane", "doe")
+    assert N.read_account("doej4") == ("doej", "") and N.read_account("kris-quartz-snk") == ("krisquartz", "snk")
+    for other in ("Jane", "a@b", "n/a", "?", "-", "", "jane doe", "4", "jane.4.doe"):
+        assert N.read_account(other) is None, other
+    assert {"p\tdoering\tj", "p\tdoering\tjane", "o\tdoering\taejn"} <= set(N.spellable(("doering", "jane")) + N.spellable(("doeringj", "")))
+
+
+ACCOUNTS = [
+    ["Thilde Brusenhold", "thilde.brusenhold", "brusenholdt4", "tbrusenhold", "thildebrusenhold", "brusenhold_t", "t.brusenhold", "brusenhold-thilde2"],
+    ["Jürgen Trabanzök", "juergen_trabanzoek", "trabanzoekjuergen", "jtrabanzoek"],
+    ["Francisca Ollemund", "fran.ollemund46", "franollemund"],
+    ["Kelmarund Society of Tidal Archives", "kelmarund-sta", "kelmarundsta"],
+    ["Rolf Zwernadik", "Zwernadik Rolf", "rolf.zwernadik"],
+]
+
+
+def test_accounts(spark):
+    rest = ["tbrusenhol", "relay", "admin", "kelmarund", "thilde", "Ann Doppelnam", "Adam Doppelnam", "a.doppelnam", "adoppelnam", "doppelnama3"]
+    used = ["Thilde Other", "Rolf Other", "Rolf Third"]
+    rows = [(n,) for g in ACCOUNTS for n in g] + [(n,) for n in rest + used]
+    got = {(r.name_a, r.name_b) for r in N.spelling_pairs(N.spelling_groups(spark.createDataFrame(rows, "name string"))).collect()}
+    assert got == {(min(p), max(p)) for g in ACCOUNTS for p in itertools.combinations(g, 2)}
+
+
+def test_misspelt_given_names_by_share(spark):
+    for times in (1, 8):
+        full = [(f"family{i}", "gabriela") for i in range(40 * times)] + [(f"family{i}", "gabriele") for i in range(30 * times)]
+        full += [(f"family{i}", "gabrielq") for i in range(times)]
+        got = {(r.a, r.b) for r in N._misspelt_givens(spark.createDataFrame(full, "family string, given string")).collect()}
+        assert got == {("gabriela", "gabrielq"), ("gabriele", "gabrielq")}
 
 
 def test_groups(spark):
