@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.urls import LINK, canonical
 from siltstone.operators.ranking import distributed_row_number
 from siltstone.operators.skew import lookup_join
-from siltstone.session import materialize, scratch_path, spread
+from siltstone.session import materialize, scratch_path, spread, task_udf
 
 #: Letters from which on a text is compared.
 SHORTEST_TEXT = 200
@@ -73,7 +73,7 @@ def _keys(rows: DataFrame) -> DataFrame:
 
 def _bits(words: Column) -> Column:
     """The set of words, each as one of the bits of BITS."""
-    @F.arrow_udf("struct<" + ", ".join(f"{b}: bigint" for b in BITS) + ">")
+    @task_udf("struct<" + ", ".join(f"{b}: bigint" for b in BITS) + ">")
     def of(texts: pa.Array) -> pa.Array:
         flat = texts.flatten().dictionary_encode()
         places = np.array([zlib.crc32(w.encode()) % (64 * len(BITS)) for w in flat.dictionary.to_pylist()], np.int64)
@@ -139,7 +139,7 @@ def common_words(a: list[str], b: list[str]) -> int:
 
 
 def _likeness(a: Column, b: Column) -> Column:
-    @F.arrow_udf("double")
+    @task_udf("double")
     def of(left: pa.Array, right: pa.Array) -> pa.Array:
         pairs = zip(left.to_pylist(), right.to_pylist())
         return pa.array([2.0 * common_words(x, y) / (len(x) + len(y)) for x, y in pairs], pa.float64())

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.ranking import distributed_row_number
-from siltstone.session import materialize
+from siltstone.session import materialize, ship
 
 PLACED = "container string, capacity int, bin bigint, doc_id bigint, piece int, first_token bigint, tokens int, bin_offset int"
 
@@ -77,6 +77,7 @@ def pack(sizes: DataFrame, containers: list[tuple[str, int]]) -> DataFrame:
     capacity in the same way.
     """
     spark = sizes.sparkSession
+    ship(spark)
     if not containers or any(c < 1 for _, c in containers):
         raise ValueError("containers need a capacity of at least 1")
     items = pieces(sizes.select("doc_id", F.coalesce("n", F.lit(0)).alias("n")), containers)

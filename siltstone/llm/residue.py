@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siltstone.session import task_udf
+
 # Phrases, lower case, by what they show.
 PHRASES = {
     "error_page": """
@@ -223,7 +225,7 @@ def judge(text: str) -> tuple[str | None, float]:
 def residue(text: Column) -> Column:
     """Struct (reason, coverage); reason is null for proper content and for null or empty text."""
 
-    @F.arrow_udf(RESULT)
+    @task_udf(RESULT)
     def judged(texts: pa.Array) -> pa.Array:
         seen: dict[str, tuple] = {}  # equal texts in a batch are judged once
         reasons, shares = [], []

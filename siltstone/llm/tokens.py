@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.session import task_udf
+
 #: Default vocabulary; any file of "base64-token rank" lines can be given.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that cuts text before merging.
@@ -18,12 +22,15 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 REMEMBERED = 200_000
 
 _loaded: dict[str, dict[bytes, int]] = {}
+_encoders: dict = {}
+_strings: dict[str, dict[int, bytes]] = {}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to id, read once per Python process."""
     if path not in _loaded:
-        with open(path, "rb") as lines:
+        # a worker without the file has the copy that the driver sent
+        with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as lines:
             _loaded[path] = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
     return _loaded[path]
 
@@ -65,8 +72,21 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+def send_vocabulary(path: str) -> None:
+    """Have every worker get a copy of a vocabulary file, once per application."""
+    context = SparkSession.active().sparkContext
+    if os.path.basename(path) not in {os.path.basename(f) for f in context.listFiles}:
+        context.addFile(path)
+
+
 def encoder(path: str):
-    """A function from text to ids that remembers frequent pieces."""
+    """A function from text to ids that remembers frequent pieces, one per Python process and vocabulary."""
+    if path not in _encoders:
+        _encoders[path] = _encoder(path)
+    return _encoders[path]
+
+
+def _encoder(path: str):
     ranks, cut, known = load_ranks(path), regex.compile(PATTERN), {}
 
     def encode(text: str) -> list[int]:
@@ -88,12 +108,14 @@ def encoder(path: str):
 def token_ids(text: Column, path: str = VOCABULARY) -> Column:
     """Ids of a text, no special tokens (their strings are ordinary text); null and '' give []."""
 
-    @F.arrow_udf("array<int>")
+    send_vocabulary(path)
+
+    @task_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         encode, flat, offsets = encoder(path), [], [0]
-        for t in texts:
-            if t.is_valid:
-                flat += encode(t.as_py())
+        for t in texts.to_pylist():
+            if t is not None:
+                flat += encode(t)
             offsets.append(len(flat))
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
 
@@ -103,10 +125,12 @@ def token_ids(text: Column, path: str = VOCABULARY) -> Column:
 def token_count(text: Column, path: str = VOCABULARY) -> Column:
     """Number of ids of a text; 0 for null."""
 
-    @F.arrow_udf("int")
+    send_vocabulary(path)
+
+    @task_udf("int")
     def count(texts: pa.Array) -> pa.Array:
         encode = encoder(path)
-        return pa.array([len(encode(t.as_py())) if t.is_valid else 0 for t in texts], pa.int32())
+        return pa.array([0 if t is None else len(encode(t)) for t in texts.to_pylist()], pa.int32())
 
     return count(text)
 
@@ -114,10 +138,12 @@ def token_count(text: Column, path: str = VOCABULARY) -> Column:
 def token_text(ids: Column, path: str = VOCABULARY) -> Column:
     """The text of ids: their vocabulary strings joined; an unknown id raises KeyError."""
 
-    @F.arrow_udf("string")
+    send_vocabulary(path)
+
+    @task_udf("string")
     def text(lists: pa.Array) -> pa.Array:
-        strings = {i: b for b, i in load_ranks(path).items()}
-        joined = [b"".join(strings[i] for i in x.as_py()).decode("utf-8", "replace") if x.is_valid else None for x in lists]
+        strings = _strings.get(path) or _strings.setdefault(path, {i: b for b, i in load_ranks(path).items()})
+        joined = [None if x is None else b"".join(strings[i] for i in x).decode("utf-8", "replace") for x in lists.to_pylist()]
         return pa.array(joined, pa.string())
 
     return text(ids)

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.session import materialize, spread
+from siltstone.session import materialize, spread, task_udf
 
 #: A limit holds at least so many texts, and so many times the mean of its neighbours.
 SPIKE_TEXTS, SPIKE_TIMES, NEIGHBOURS = 4, 5.0, 25
@@ -111,7 +111,7 @@ def ending(text: str) -> tuple[str, str | None]:
 
 
 def _endings(text: Column) -> Column:
-    @F.arrow_udf(ENDING)
+    @task_udf(ENDING)
     def of(texts: pa.Array) -> pa.Array:
         got = [("whole", None) if t is None else ending(t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays(
