@@ -3,7 +3,8 @@
 String keys are replaced by integers in the order of the keys, parent keys
 are compressed into contiguous runs, and every referenced key is matched
 as-of to the run that starts at or before it: a key beyond that run's end has
-no parent.
+no parent.  Nothing else tells whether a parent exists; the dates of a parent
+are looked up for keys inside a run only.
 """
 
 from __future__ import annotations
@@ -46,16 +47,15 @@ def references(df: DataFrame, table: str, key: str, date: str, ids: str) -> Data
     )
 
 
-def parent_runs(keys: DataFrame) -> DataFrame:
-    """(run_start, run_end) of the contiguous integer keys with ``is_parent``.
+def parent_runs(parents: DataFrame) -> DataFrame:
+    """(run_start, run_end) of the contiguous integer keys ``k`` of ``parents``, which must differ.
 
-    ``keys``: ``k`` (1, 2, ... without gaps) and ``is_parent``.  A run is cut
-    where a block ends, so that a window never holds more than a block.
+    A run is cut where a block ends, so that a window never holds more than a
+    block.
     """
     island = Window.partitionBy("block").orderBy("k")
     return (
-        keys.where("is_parent")
-        .withColumn("block", F.floor(F.col("k") / BLOCK))
+        parents.select("k", F.floor(F.col("k") / BLOCK).alias("block"))
         .withColumn("island", F.col("k") - F.row_number().over(island))
         .groupBy("block", "island")
         .agg(F.min("k").alias("run_start"), F.max("k").alias("run_end"))
@@ -63,10 +63,9 @@ def parent_runs(keys: DataFrame) -> DataFrame:
     )
 
 
-def beyond_runs(keys: DataFrame, runs: DataFrame) -> DataFrame:
-    """Keys that lie after the end of the run that starts at or before them."""
-    block = F.floor(F.col("k") / BLOCK)
-    events = keys.select(block.alias("block"), "k", F.lit(None).cast("bigint").alias("run_end")).unionByName(
+def placed_in_runs(keys: DataFrame, runs: DataFrame) -> DataFrame:
+    """(k, inside) of different ``keys`` (k): whether the run that starts at or before a key reaches it."""
+    events = keys.select(F.floor(F.col("k") / BLOCK).alias("block"), "k", F.lit(None).cast("bigint").alias("run_end")).unionByName(
         runs.select("block", F.col("run_start").alias("k"), "run_end")
     )
     asof = (
@@ -74,11 +73,8 @@ def beyond_runs(keys: DataFrame, runs: DataFrame) -> DataFrame:
         .orderBy("k", F.col("run_end").asc_nulls_last())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    return (
-        events.withColumn("end", F.last("run_end", ignorenulls=True).over(asof))
-        .where(F.col("run_end").isNull() & (F.col("end").isNull() | (F.col("k") > F.col("end"))))
-        .select("k")
-    )
+    reach = events.withColumn("end", F.last("run_end", ignorenulls=True).over(asof)).where("run_end IS NULL")
+    return reach.select("k", F.coalesce(F.col("k") <= F.col("end"), F.lit(False)).alias("inside"))
 
 
 def orphan_references(refs: DataFrame, parents: DataFrame, parent_id: str, arrived: str, removed: DataFrame,
@@ -92,7 +88,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, parent_id: str, arriv
     change nothing; empty tables are allowed; dates are text as yyyy-MM-dd.
     """
     first = (
-        parents.where(F.col(parent_id).isNotNull())
+        parents.where(F.col(parent_id).isNotNull() & F.col(arrived).isNotNull())
         .groupBy(F.col(parent_id).alias("item_id"))
         .agg(F.date_format(F.min(arrived), "yyyy-MM-dd").alias("since"))
     )
@@ -101,28 +97,22 @@ def orphan_references(refs: DataFrame, parents: DataFrame, parent_id: str, arriv
         .groupBy(F.col(removed_id).alias("item_id"))
         .agg(F.min(removed_on).alias("until"))
     )
-    refs = materialize(refs, "refs")
-    ids = (
-        first.select("item_id", F.lit(1).alias("p"))
-        .unionByName(refs.select("item_id", F.lit(0).alias("p")))
-        .groupBy("item_id")
-        .agg((F.max("p") == 1).alias("is_parent"))
-    )
-    keys = materialize(
-        distributed_row_number(materialize(ids.withColumn("all", F.lit(0)), "ids"), ["all"], ["item_id"], "k").drop("all"), "keys"
+    refs, first = materialize(refs, "refs"), materialize(first, "parents")
+    named = refs.groupBy("item_id").agg(F.lit(True).alias("asked"), F.lit(None).cast("string").alias("since"))
+    ids = first.select("item_id", F.lit(False).alias("asked"), "since").unionByName(named).groupBy("item_id").agg(
+        F.max("asked").alias("asked"), F.max("since").alias("since"), F.lit(0).alias("all")
     )
-    missing = beyond_runs(keys.where("NOT is_parent"), parent_runs(keys))
+    keys = materialize(distributed_row_number(materialize(ids, "ids"), ["all"], ["item_id"], "k").drop("all"), "keys")
+    placed = placed_in_runs(keys.where("asked").select("k"), parent_runs(keys.where("since IS NOT NULL").select("k")))
     known = (
-        keys.join(missing.withColumn("orphan", F.lit(True)), "k", "left")
-        .join(first, "item_id", "left")
+        keys.where("asked").join(placed, "k")
         .join(gone, "item_id", "left")
-        .select("item_id", F.coalesce("orphan", F.lit(False)).alias("orphan"), "since", "until")
+        .select("item_id", F.when(F.col("inside"), F.col("since")).alias("since"), "inside", "until")
     )
     return (
-        lookup_join(refs, known, ["item_id"])
+        lookup_join(refs, known, ["item_id"], "inner")
         .where(
-            F.col("orphan")
-            | F.col("since").isNull()
+            ~F.col("inside")
             | (F.col("since") > F.col("ref_date"))
             | F.coalesce(F.col("until") <= F.col("ref_date"), F.lit(False))
         )

@@ -93,6 +93,23 @@ def test_orphans_against_brute_force(spark, monkeypatch):
     assert sum(r[2] for r in report) == len(want)
 
 
+def test_runs_decide_what_exists(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "BLOCK", 4)
+    keys = spark.createDataFrame([(k,) for k in (1, 2, 3, 5, 6, 9)], "k bigint")
+    runs = orphans.parent_runs(keys)
+    assert rows(runs.select("run_start", "run_end")) == [(1, 3), (5, 6), (9, 9)]
+    asked = spark.createDataFrame([(k,) for k in (2, 4, 5, 8, 10)], "k bigint")
+    assert rows(orphans.placed_in_runs(asked, runs)) == [(2, True), (4, False), (5, True), (8, False), (10, False)]
+    wiki = spark.createDataFrame([("p", "2024-01-01", ["x", "y"])], "name string, generated string, id array<string>")
+    parents = spark.createDataFrame([("x", "2023-01-01 00:00:00"), ("y", "2023-01-01 00:00:00")], "id string, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    removed = spark.createDataFrame([], "id string, on string")
+    refs = orphans.references(wiki, "wiki", "name", "generated", "id")
+    assert orphans.orphan_references(refs, parents, "id", "t", removed, "id", "on").count() == 0
+    empty = orphans.parent_runs(keys.limit(0))
+    monkeypatch.setattr(orphans, "parent_runs", lambda _: empty)
+    assert orphans.orphan_references(refs, parents, "id", "t", removed, "id", "on").count() == 2
+
+
 def test_orphans_of_empty_tables(spark):
     none = spark.createDataFrame([], "name string, generated string, id array<string>")
     parents = spark.createDataFrame([], "id string, t timestamp_ntz")
