@@ -9,6 +9,7 @@ from siltstone.functions.urls import LINK, canonical
 
 #: White space as Unicode has it.
 SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# How pages cite items and link to each other.
 CITATION = r"`(\d{4}-\d{2}-\d{2}-[a-z0-9-]+-[0-9a-f]{6})`"
 WIKILINK = r"\[\[([a-z0-9-]+)\]\]"
 
@@ -74,8 +75,9 @@ def field(text: Column, name: str, pattern: str = ".+") -> Column:
 def front_matter(text: Column) -> Column:
     """Struct (fields, body) of a note; no fields if the block is missing or not closed.
 
-    A byte-order mark is dropped and line ends become \\n.  Lines are split at
-    the first colon; of repeated names the last counts.
+    A byte-order mark is dropped and line ends become \\n; empty lines between
+    block and body belong to neither.  Lines are split at the first colon; of
+    repeated names the last counts.
     """
     t = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
     shape = r"(?s)^---[^\n]*\n(.*?\n)??---(?:\n(.*))?$"
@@ -93,27 +95,47 @@ def front_matter(text: Column) -> Column:
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     return F.struct(
         F.when(has, F.map_from_entries(last)).otherwise(empty).alias("fields"),
-        F.when(has, F.regexp_extract(t, shape, 2)).otherwise(t).alias("body"),
+        F.when(has, F.regexp_replace(F.regexp_extract(t, shape, 2), "^\n+", "")).otherwise(t).alias("body"),
     )
 
 
-def front_matter_text(item: dict[str, Column], lists: dict[str, Column], inline: dict[str, Column], body: Column) -> Column:
-    """A note: scalars, block lists (left out if empty), inline lists, then the body."""
-    lines = [F.concat(F.lit(f"{k}: "), v) for k, v in item.items()]
-    for k, v in lists.items():
-        block = F.concat(F.lit(f"{k}:\n  - "), F.array_join(v, "\n  - "))
-        lines.append(F.when(F.size(v) > 0, block))
-    lines += [F.concat(F.lit(f"{k}: ["), F.array_join(v, ", "), F.lit("]")) for k, v in inline.items()]
-    head = F.concat_ws("\n", F.lit("---"), *lines, F.lit("---"))
+def front_matter_text(fields: list[tuple[str, str, Column]], body: Column) -> Column:
+    """A note: ``fields`` (name, style, value) in order, then the body without white space at its end.
+
+    Styles: ``scalar`` (left out if null), ``block`` (a list, one entry a
+    line; left out if null or empty), ``inline`` (a list in brackets).
+    """
+    def line(name: str, style: str, value: Column) -> Column:
+        if style == "block":
+            return F.when(F.size(value) > 0, F.concat(F.lit(f"{name}:\n  - "), F.array_join(value, "\n  - ")))
+        if style == "inline":
+            return F.concat(F.lit(f"{name}: ["), F.array_join(value, ", "), F.lit("]"))
+        return F.concat(F.lit(f"{name}: "), value.cast("string"))
+
+    head = F.concat_ws("\n", F.lit("---"), *[line(*f) for f in fields], F.lit("---"))
     return F.concat(head, F.lit("\n\n"), F.regexp_replace(body, rf"{SPACE}+$", ""), F.lit("\n"))
 
 
+def inline_list(value: Column) -> Column:
+    """Entries of a list in brackets; null if it is none."""
+    entries = F.split(F.regexp_extract(value, r"^\[(.*)\]$", 1), ",")
+    return F.when(value.rlike(r"^\[.*\]$"), F.filter(F.transform(entries, strip), lambda x: x != ""))
+
+
 def rewritten_capture(fields: Column, body: Column, media: Column) -> Column:
-    """A capture whose asset was stored: media first, asset and name dropped, other fields in order."""
-    kept = F.map_filter(fields, lambda k, v: ~k.isin("asset", "name", "media"))
+    """A capture whose asset was stored: media first, asset and name dropped, other fields in order.
+
+    A body of nothing but white space is left out; line ends after a body become one.
+    """
+    kept = F.map_filter(fields, lambda k, v: ~k.isin("asset", "name"))
     rest = F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
     lines = F.concat(F.array(F.concat(F.lit("media: "), media)), rest)
-    return F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n"), body)
+    note = F.when(strip(body) != "", F.concat(F.lit("\n"), F.regexp_replace(body, "\n+$", ""), F.lit("\n"))).otherwise("")
+    return F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n"), note)
+
+
+#: Lines of a caption file that are not spoken.
+UNSPOKEN = r"^(WEBVTT|Kind:|Language:|NOTE|align:)"
 
 
 def caption_text(vtt: Column) -> Column:
@@ -121,7 +143,7 @@ def caption_text(vtt: Column) -> Column:
     lines = F.transform(F.split(vtt, "\r\n|\r|\n"), lambda x: strip(F.regexp_replace(x, "<[^>]+>", "")))
     spoken = F.filter(
         lines,
-        lambda x: ~((x == "") | F.contains(x, F.lit("-->")) | x.rlike(r"^(WEBVTT|Kind:|Language:|NOTE|align:)") | x.rlike(r"^\d+$")),
+        lambda x: ~((x == "") | F.contains(x, F.lit("-->")) | x.rlike(UNSPOKEN) | x.rlike(r"^\d+$")),
     )
     return F.array_join(F.filter(spoken, lambda x, i: (i == 0) | (x != F.get(spoken, i - 1))), "\n")
 

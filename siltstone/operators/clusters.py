@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text, urls
 from siltstone.operators.chains import follow_pointers
 from siltstone.operators.ranking import carry_last, distributed_row_number
-from siltstone.session import materialize
+from siltstone.session import materialize, ship
 
 #: Messages of one author at most this far apart are one post.
 GAP_MINUTES = 15
@@ -23,24 +23,26 @@ def _micros(ts):
     return F.unix_micros(F.try_to_timestamp(zoned))
 
 
+def last_copies(messages: DataFrame, *columns) -> DataFrame:
+    """(channel, id, ``columns``) of the copy of each message that came last; rows without channel or id are left out."""
+    facts = F.struct("ingested_at", "pos", "type", *columns)
+    rows = messages.where("channel IS NOT NULL AND id IS NOT NULL")
+    return rows.groupBy("channel", "id").agg(F.max(facts).alias("k")).select("channel", "id", "k.*")
+
+
 def posts(messages: DataFrame) -> DataFrame:
     """Messages that can be part of a post, numbered ``n`` per channel in the order of the export.
 
-    Types Default and Reply with text or attachments; the copy that came last
-    of each (channel, id).
+    Types Default and Reply with text or attachments, as their last copy has
+    it: a message whose last copy is blank is none, whatever it was before.
     """
-    rows = messages.where(
-        F.col("type").isin("Default", "Reply") & F.col("id").isNotNull() & F.col("channel").isNotNull()
-        & ((F.length("content") > 0) | (F.size("attachments") > 0))
-    )
-    last = rows.groupBy("channel", "id").agg(F.max(F.struct("ingested_at", "pos")).alias("k"))
-    one = (
-        rows.join(last, ["channel", "id"]).where("ingested_at = k.ingested_at AND pos = k.pos")
-        .select("channel", "id", "pos", "type", F.col("author.id").alias("author"), _micros(F.col("timestamp")).alias("at"),
-                F.col("reference.messageId").alias("ref"))
-        .dropDuplicates(["channel", "id"])
-    )
-    return distributed_row_number(materialize(one, "posts"), ["channel"], ["pos", "id"], "n")
+    filled = (F.length("content") > 0) | (F.size("attachments") > 0)
+    one = last_copies(
+        messages, F.col("author.id").alias("author"), _micros(F.col("timestamp")).alias("at"),
+        F.col("reference.messageId").alias("ref"), F.coalesce(filled, F.lit(False)).alias("filled"),
+    ).where(F.col("type").isin("Default", "Reply") & F.col("filled"))
+    rows = one.select("channel", "id", "pos", "type", "author", "at", "ref")
+    return distributed_row_number(materialize(rows, "posts"), ["channel"], ["pos", "id"], "n")
 
 
 def _follows(author, at, next_author, next_at):
@@ -89,6 +91,7 @@ def by_replies(rows: DataFrame) -> DataFrame:
     disagree does it depend on what happened since the last sure beginning;
     these short segments alone are folded in order.
     """
+    ship(rows.sparkSession)
     rows = materialize(rows, "posts")
     parents = rows.select("channel", F.col("id").alias("ref"), F.col("n").alias("p_n"))
     linked = rows.where("type = 'Reply'").join(parents, ["channel", "ref"]).where("p_n < n").select("channel", "id", "n", "ref")
@@ -136,9 +139,8 @@ def items(messages: DataFrame, clusters: DataFrame, domains: list[str] | None =
     enough text.  The date is the first message's, in its own offset.
     """
     outside = lambda u: ~urls.is_internal(u, domains or [])
-    copies = messages.where(F.col("type").isin("Default", "Reply")).groupBy("channel", "id").agg(
-        F.max_by(F.struct("timestamp", "content", "author", "attachments", "embeds", "reactions"), F.struct("ingested_at", "pos")).alias("m")
-    )
+    copies = last_copies(messages, "timestamp", "content", "author", "attachments", "embeds", "reactions").select(
+        "channel", "id", F.struct("timestamp", "content", "author", "attachments", "embeds", "reactions").alias("m"))
     rows = clusters.join(copies, ["channel", "id"])
     lists = rows.groupBy("channel", "cluster").agg(F.array_sort(F.collect_list(F.struct("n", "id", "m"))).alias("ms"))
     first = F.col("ms")[0]

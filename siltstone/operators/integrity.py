@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
@@ -103,6 +103,31 @@ def summary(pages: DataFrame, entries: DataFrame, items: DataFrame, index: DataF
     return out
 
 
+#: Rows a report shows of each finding.
+SHOWN = {"broken_links": 20, "bad_citations": 20, "orphans": 20, "unindexed": 10, "ghost_entries": 10, "stale_pages": 15}
+
+
+def report_lists(pages: DataFrame, entries: DataFrame, items: DataFrame, index: DataFrame) -> DataFrame:
+    """(finding, place, subject, detail): the first rows of each finding, stale pages by how many items are newer."""
+    none = F.lit(None).cast("string")
+    parts = {
+        "broken_links": classified_links(pages, entries).where("state = 'broken'").select(F.col("page").alias("subject"), F.col("target").alias("detail")),
+        "bad_citations": bad_citations(pages, items).select(F.col("page").alias("subject"), F.col("item").alias("detail")),
+        "orphans": uncited(pages, entries, items).select(F.col("id").alias("subject"), none.alias("detail")),
+        "unindexed": unindexed(pages, index).select(F.col("name").alias("subject"), none.alias("detail")),
+        "ghost_entries": ghost_entries(pages, entries, index).select(F.col("name").alias("subject"), none.alias("detail")),
+        "stale_pages": stale_pages(pages, entries).select(F.col("page").alias("subject"), F.col("newer").cast("string").alias("detail")),
+    }
+    out = None
+    for name, found in parts.items():
+        order = [F.col("detail").cast("bigint").desc(), F.col("subject")] if name == "stale_pages" else [F.col("subject"), F.col("detail")]
+        first = found.orderBy(*order).limit(SHOWN[name])
+        # no more rows than are shown
+        numbered = first.select(F.lit(name).alias("finding"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("place"), "subject", "detail")
+        out = numbered if out is None else out.unionByName(numbered)
+    return out
+
+
 def verdict(found: DataFrame) -> DataFrame:
     """One row (passed): links and citations are sound; other findings are reports."""
     wrong = F.sum(F.when(F.col("finding").isin("broken_links", "bad_citations"), F.col("n")).otherwise(0))

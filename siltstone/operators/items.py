@@ -49,6 +49,12 @@ def exclude(items: DataFrame, exclusions: DataFrame) -> DataFrame:
     return items.withColumn("short", F.substring_index("id", "-", -1)).join(out, "short", "left_anti").drop("short")
 
 
+def exclude_enrichment(enrichment: DataFrame, exclusions: DataFrame) -> DataFrame:
+    """What was fetched, without that of excluded items (by full id); rows without an item stay."""
+    out = exclusions.where("id IS NOT NULL").select(F.col("id").alias("item_id")).distinct()
+    return enrichment.join(out, "item_id", "left_anti")
+
+
 def new_exclusions(request: DataFrame, exclusions: DataFrame) -> DataFrame:
     """(id, reason) lines to add: ids not excluded before, once each, with a reason."""
     asked = request.where("id IS NOT NULL").groupBy("id").agg(F.min("reason").alias("reason"))

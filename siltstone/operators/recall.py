@@ -13,8 +13,8 @@ from siltstone.session import materialize
 def recall(items: DataFrame, pages: DataFrame, keywords: list[str], since: str | None = None, until: str | None = None) -> DataFrame:
     """Items that have all keywords in their text, within dates, with where they are filed.
 
-    Columns id, date, url (the first), pages (number citing it).  Newest
-    first is up to the caller, as a full sort is rarely wanted.
+    Columns id, date, url (the first), pages (number citing it); in no order,
+    see ``newest``.
     """
     found = items
     for word in keywords:
@@ -34,6 +34,19 @@ def check_due(entries: DataFrame, today: str, op: str, days: int = 7) -> DataFra
     return last.select("last", F.coalesce(gap > days, F.lit(True)).alias("due"))
 
 
+def newest(found: DataFrame, k: int | None = None) -> DataFrame:
+    """Newest first, ties by id; the first ``k`` where that is asked, which needs no full sort."""
+    ordered = found.orderBy(F.col("date").desc_nulls_last(), "id")
+    return ordered if k is None else ordered.limit(k)
+
+
+def checks_due(entries: DataFrame, today: str, days: int = 7) -> DataFrame:
+    """(op, last, due) for every operation of the log (date, op), as ``check_due`` has it."""
+    last = entries.where("op IS NOT NULL").groupBy("op").agg(F.max("date").alias("last"))
+    gap = F.datediff(F.lit(today).cast("date"), F.col("last").cast("date"))
+    return last.select("op", "last", F.coalesce(gap > days, F.lit(True)).alias("due"))
+
+
 def top(df: DataFrame, metric: str, key: str, k: int) -> DataFrame:
     """The ``k`` rows of largest ``metric``, ties by ``key``."""
     return df.orderBy(F.desc(metric), key).limit(k)

@@ -353,8 +353,10 @@ def fetch_progress_of_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 _POSTS = """raw AS (SELECT channel, id, pos, type, author.id AS author, ingested_at, reference.messageId AS ref, content,
   try_cast(CASE WHEN regexp_matches(trim("timestamp"), '(Z|[+-]\\d\\d:?\\d\\d)$') THEN trim("timestamp") ELSE trim("timestamp") || 'Z' END AS TIMESTAMPTZ) AS moment
-  FROM messages WHERE type IN ('Default', 'Reply') AND id IS NOT NULL AND channel IS NOT NULL AND (length(content) > 0 OR len(attachments) > 0)),
-one AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY channel, id ORDER BY ingested_at DESC, pos DESC) = 1),
+  , attachments, embeds, reactions, author AS who, "timestamp" AS stamp
+  FROM messages WHERE id IS NOT NULL AND channel IS NOT NULL),
+last_copy AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY channel, id ORDER BY ingested_at DESC, pos DESC) = 1),
+one AS (SELECT * FROM last_copy WHERE type IN ('Default', 'Reply') AND (length(content) > 0 OR len(attachments) > 0)),
 posts AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY pos, id) AS n FROM one)"""
 
 
@@ -591,11 +593,7 @@ def items_most_liked(spark: SparkSession, d: str) -> DataFrame:
 def kinds_due(spark: SparkSession, d: str) -> DataFrame:
     """Kinds of links without a ledger line in the week before the year's end."""
     log = table(spark, d, "enrichment_ledger").where("kind IS NOT NULL").select("date", F.col("kind").alias("op"))
-    out = None
-    for op in ledger.KINDS:
-        row = recall.check_due(log, "2025-12-31", op).select(F.lit(op).alias("op"), "last", "due")
-        out = row if out is None else out.unionByName(row)
-    return out.where("last IS NOT NULL")
+    return recall.checks_due(log, "2025-12-31")
 
 
 @query(f"""WITH {_LAST}, n AS (SELECT channel, substr(date, 1, 7) AS month, id, (row_number() OVER (PARTITION BY channel, substr(date, 1, 7) ORDER BY date NULLS FIRST, id) - 1) // 20 AS part FROM last)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
+from siltstone.operators.digests import parsed
 
 MESSAGE = (
     "id string, type string, timestamp string, content string, author struct<id:string,name:string,nickname:string>,"
@@ -88,6 +89,19 @@ def wiki_notes(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def index_names(spark: SparkSession, path: str) -> DataFrame:
+    """(text): the index of the wiki, as lines; a missing file has none."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], "text string")
+    return spark.read.text(path).select(F.col("value").alias("text"))
+
+
+def digest_notes(spark: SparkSession, root: str) -> DataFrame:
+    """Digests of ``root``/*.md, see ``digests.parsed``."""
+    return parsed(spark.read.text(f"{root}/*.md", wholetext=True))
+
+
 def ledger_lines(spark: SparkSession, path: str) -> DataFrame:
     """Ledger lines; blank lines are skipped."""
     return spark.read.schema(LEDGER).json(path).where("hash IS NOT NULL")

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from siltstone.operators import digests
 from siltstone.sources import readers, writers
 
 
@@ -53,16 +54,78 @@ def test_ledger_exclusions_taxonomy_log(spark, tmp_path):
 
 def test_sinks_can_be_repeated(spark, tmp_path):
     path = str(tmp_path / "items")
-    df = spark.createDataFrame([("2024-a", 1), ("2023-b", 2)], "id string, v int")
-    writers.write_items(df, path)
-    writers.write_items(df.where("v = 1").withColumn("v", F.lit(5)), path)
-    assert sorted((r.id, r.v) for r in spark.read.parquet(path).collect()) == [("2023-b", 2), ("2024-a", 5)]
-    changed = str(tmp_path / "changed")
-    writers.write_changed(df, df.where("v = 2"), "id", changed)
-    assert [r.id for r in spark.read.parquet(changed).collect()] == ["2024-a"]
-    fetched = spark.createDataFrame([("i", "blog", {"a": "1", "b": "", "_c": "x"}, " body \n")], "item string, kind string, meta map<string,string>, body string")
-    writers.write_enrichment(fetched, str(tmp_path / "enr"))
-    got = spark.read.parquet(str(tmp_path / "enr")).first()
-    assert got.meta == {"a": "1"} and got.body == "body\n"
-    writers.write_report(spark.createDataFrame([("b", 2), ("a", 1)], "finding string, n int"), str(tmp_path / "report"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == ["a: 1", "b: 2"]
+    df = spark.createDataFrame([("2024-a", 1), ("2024-c", 3), ("2023-b", 2)], "id string, v int")
+    read = lambda p, *c: sorted(tuple(r[x] for x in c) for r in spark.read.parquet(p).collect())
+    for _ in range(2):
+        writers.write_items(df, path)
+    for _ in range(2):
+        writers.write_items(df.where("v = 1").withColumn("v", F.lit(5)), path)
+    # a year's other items stay
+    assert read(path, "id", "v") == [("2023-b", 2), ("2024-a", 5), ("2024-c", 3)]
+    owned = str(tmp_path / "owned")
+    item = spark.createDataFrame([("2024-a", "raw", ["x"])], "id string, status string, enrichment array<string>")
+    writers.write_items(item, owned)
+    assert read(owned, "id", "status") == [("2024-a", "raw")]
+    item.selectExpr("id", "'enriched' AS status", "array('a.md') AS enrichment", "'2024' AS year").write.mode("overwrite").partitionBy("year").parquet(owned)
+    writers.write_items(item, owned)
+    got = spark.read.parquet(owned).first()
+    assert (got.status, got.enrichment) == ("enriched", ["a.md"])
+
+
+def test_changed_rows_take_the_place_of_old_ones(spark, tmp_path):
+    path = str(tmp_path / "changed")
+    df = spark.createDataFrame([(f"k{i}", i) for i in range(40)], "id string, v int")
+    assert [writers.write_changed(df, "id", path), writers.write_changed(df, "id", path)] == [40, 0]
+    assert writers.write_changed(df.where("v < 2").withColumn("v", F.col("v") * 10 + 1), "id", path) == 2
+    got = {r.id: r.v for r in spark.read.parquet(path).collect()}
+    assert len(got) == 40 == spark.read.parquet(path).count() and (got["k0"], got["k1"], got["k2"]) == (1, 11, 2)
+
+
+def test_enrichment_is_written_over_by_item_and_file(spark, tmp_path):
+    path, schema = str(tmp_path / "enr"), "item_id string, file string, kind string, meta map<string,string>, body string"
+    fetched = spark.createDataFrame([("2024-i", "a.md", "blog", {"a": "1", "b": "", "_c": "x"}, " body \n"), ("2024-i", "b.md", "blog", {}, "other")], schema)
+    for _ in range(2):
+        writers.write_enrichment(fetched, path)
+    got = {r.file: (r.meta, r.body) for r in spark.read.parquet(path).collect()}
+    assert got == {"a.md": ({"a": "1"}, "body\n"), "b.md": ({}, "other\n")} and spark.read.parquet(path).count() == 2
+    writers.write_enrichment(spark.createDataFrame([("2024-i", "a.md", "paper", {}, "new")], schema), path)
+    assert sorted((r.file, r.kind, r.body) for r in spark.read.parquet(path).collect()) == [("a.md", "paper", "new\n"), ("b.md", "blog", "other\n")]
+
+
+def test_report(spark, tmp_path):
+    lists = spark.createDataFrame([("a", 1, "page", "target"), ("a", 2, "page", None)], "finding string, place int, subject string, detail string")
+    writers.write_report(spark.createDataFrame([("b", 2), ("a", 1)], "finding string, n int"), str(tmp_path / "report"), lists)
+    assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == ["a: 1", "   page -> target", "   page", "b: 2"]
+
+
+def test_digests(spark, tmp_path):
+    schema = "id string, date string, signal string, topics array<string>, entities array<string>, media array<string>, facts array<string>"
+    rows = [(f"d{n}", "2024-01-02", "high" if n != 16 else "huge", ["t", "u"], ["e"], ["media/1"] if n == 3 else [], [f"fact {i}" for i in range(n)]) for n in (2, 3, 15, 16)]
+    notes = writers.digest_notes(spark.createDataFrame(rows, schema))
+    for note in notes.collect():
+        (tmp_path / note.path).write_text(note.value)
+    read = readers.digest_notes(spark, str(tmp_path))
+    assert sorted((r.id, r.date, r.signal, r.topics, r.entities, r.media, r.facts) for r in read.collect()) == sorted(rows)
+    assert sorted(map(tuple, digests.faults(read).collect())) == [("d16", "facts"), ("d16", "signal"), ("d2", "facts")]
+    entries = spark.createDataFrame([("t", "topics"), ("u", "entities")], "name string, section string")
+    assert digests.faults(read, entries).where("fault = 'topics'").count() == 4
+    assert digests.with_signal(read).count() == 3 and digests.recall_facts(read, ["FACT 14", "fact 2"]).select("id").count() == 2
+    members = spark.createDataFrame([("t", "d3"), ("uncategorized-shares", "d2"), ("uncategorized-shares", "x")], "topic string, item string")
+    got = digests.placements(read.where("signal = 'high'"), members, spark.createDataFrame([("t",), ("uncategorized-shares",)], "topic string"))
+    assert sorted(map(tuple, got.collect())) == [("t", "d15"), ("t", "d2"), ("t", "d3"), ("uncategorized-shares", "x")]
+    finer = spark.createDataFrame([("t", "d3", "t-new")], "topic string, item string, to string")
+    assert sorted(map(tuple, digests.split_topic(members, finer).collect())) == [("t-new", "d3"), ("uncategorized-shares", "d2"), ("uncategorized-shares", "x")]
+    assert readers.index_names(spark, str(tmp_path / "none.md")).count() == 0
+
+
+def test_item_note_has_all_fields(spark):
+    item = spark.createDataFrame(
+        [("2024-a", "s", "c", None, "2024-01-01", ["https://a.example"], ["blog"], ["raw/x.png"], 3, None, None, "b \n\n")],
+        "id string, source string, channel string, shared_by string, date string, urls array<string>, kinds array<string>, attachments array<string>,"
+        " reactions bigint, status string, enrichment array<string>, body string",
+    )
+    assert writers.item_notes(item).first().value == (
+        "---\nid: 2024-a\nsource: s\nchannel: c\ndate: 2024-01-01\nurls:\n  - https://a.example\nkinds: [blog]\nattachments:\n  - raw/x.png\n"
+        "reactions: 3\nstatus: raw\nenrichment: []\n---\n\nb\n"
+    )
+    assert "reactions" not in writers.item_notes(item.withColumn("reactions", F.lit(0))).first().value
