@@ -82,6 +82,14 @@ def ledger_lines(results: DataFrame, date) -> DataFrame:
     )
 
 
+def run_counters(results: DataFrame, work: DataFrame, states: list[str], every: int = 25) -> DataFrame:
+    """Outcomes of every ``every`` links of a kind, in the order of the work list: kind, upto, and a column per state."""
+    order = distributed_row_number(materialize(work.select("kind", "item", "pos", "hash"), "work"), ["kind"], ["item", "pos", "hash"], "i")
+    upto = (F.floor((F.col("i") - 1) / every) + 1) * every
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in states]
+    return order.join(results.select("hash", "status"), "hash").groupBy("kind", upto.alias("upto")).agg(*counts)
+
+
 def progress(work: DataFrame, every: int = 25) -> DataFrame:
     """Every ``every``-th link of the work list with its number, by kind."""
     work = materialize(work.select("kind", "item", "pos", "hash"), "work")

@@ -221,17 +221,20 @@ def spoken_lines(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT DISTINCT id, source, channel, shared_by, coalesce(array_to_string(urls, ' '), '') AS urls, coalesce(body, '') AS body FROM corpus WHERE id IS NOT NULL AND shared_by IS NOT NULL AND source IS NOT NULL AND channel IS NOT NULL AND shared_by = trim(shared_by) AND shared_by <> '' AND (body IS NULL OR body = rtrim(body, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))")
+_TRIM = r"regexp_replace({0}, '^[\s\x{{0085}}\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\s\x{{0085}}\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g')"
+
+
+@query("SELECT DISTINCT " + ", ".join(_TRIM.format(c) + f" AS {c}" for c in ("id", "source", "channel", "shared_by", "status")) + r""",
+  nullif(coalesce(reactions, 0), 0)::VARCHAR AS reactions, coalesce(array_to_string(urls, ' '), '') AS urls,
+  regexp_replace(regexp_replace(replace(replace(coalesce(body, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', ''), '^\n+', '') AS body
+FROM (SELECT * REPLACE (coalesce(status, 'raw') AS status) FROM corpus)""")
 def front_matter_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Items written as notes and read again."""
-    rows = table(spark, d, "corpus").where("id IS NOT NULL AND shared_by IS NOT NULL AND source IS NOT NULL AND channel IS NOT NULL AND shared_by = trim(shared_by) AND shared_by <> ''")
-    rows = rows.where(F.coalesce(F.col("body") == F.regexp_replace("body", r"[ \t\n\r\x{A0}]+$", ""), F.lit(True)))
-    notes = writers.item_notes(rows.select("id", "source", "channel", "shared_by", F.coalesce("date", F.lit("")).alias("date"), "urls", "kinds", "enrichment", "body"))
+    """Items written as notes and read again: white space around values and after the body goes, missing values stay missing."""
+    notes = writers.item_notes(table(spark, d, "corpus"))
     read = notes.select(text.front_matter(F.col("value")).alias("n"), F.regexp_extract_all("value", F.lit(r"(?dm)^  - (https?://\S+)$"), F.lit(1)).alias("u"))
-    body = F.regexp_replace(F.regexp_replace("n.body", "^\n", ""), "\n$", "")
     return read.select(
-        F.col("n.fields")["id"].alias("id"), F.col("n.fields")["source"].alias("source"), F.col("n.fields")["channel"].alias("channel"),
-        F.col("n.fields")["shared_by"].alias("shared_by"), F.array_join("u", " ").alias("urls"), body.alias("body"),
+        *[F.col("n.fields")[c].alias(c) for c in ("id", "source", "channel", "shared_by", "status", "reactions")],
+        F.array_join("u", " ").alias("urls"), F.regexp_replace("n.body", "\n$", "").alias("body"),
     ).distinct()
 
 
@@ -367,19 +370,75 @@ def cluster_by_gap(spark: SparkSession, d: str) -> DataFrame:
     return clusters.by_gap(clusters.posts(table(spark, d, "messages")))
 
 
-@query()
+# one message after the other, as the definition has it: ``seen`` are the clusters of a channel's messages so far
+_CLUSTERS = f"""WITH RECURSIVE {_POSTS}, fold AS (
+  SELECT channel, n, id, n AS cluster, n AS newest, author AS last_author, moment AS last_moment, MAP {{id: n}} AS seen FROM posts WHERE n = 1
+  UNION ALL
+  SELECT channel, n, id, target, greatest(newest, target), CASE WHEN target >= newest THEN author ELSE last_author END,
+    CASE WHEN target >= newest THEN moment ELSE last_moment END, map_concat(seen, MAP {{id: target}})
+  FROM (SELECT p.channel, p.n, p.id, p.author, p.moment, f.newest, f.last_author, f.last_moment, f.seen,
+      CASE WHEN p.type = 'Reply' AND f.seen[p.ref] IS NOT NULL THEN f.seen[p.ref]
+        WHEN coalesce(p.author = f.last_author AND p.moment - f.last_moment <= INTERVAL 15 MINUTE, false) THEN f.newest ELSE p.n END AS target
+    FROM fold f JOIN posts p ON p.channel = f.channel AND p.n = f.n + 1)
+), clusters AS (SELECT channel, id, n, cluster FROM fold)"""
+_URL = r"https?://[^\s>\)\]]+"
+_OUTSIDE = "NOT regexp_matches(lower(split_part(regexp_replace(u, '^https?://', ''), '/', 1)), '(^|[.])(" + "|".join(x.replace(".", "[.]") for x in DOMAINS) + ")$')"
+_BLANKS = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_SHARE_KIND = """CASE WHEN h IN ('youtube.com', 'youtu.be', 'm.youtube.com') THEN 'youtube' WHEN h = 'github.com' THEN 'github'
+  WHEN h IN ('arxiv.org', 'openreview.net') OR contains(u, 'huggingface.co/papers') THEN 'paper' WHEN h IN ('x.com', 'twitter.com') THEN 'tweet' ELSE 'blog' END"""
+_ITEMS = _CLUSTERS + rf""", m AS (
+  SELECT c.channel, c.cluster, c.n, c.id, l.stamp, l.content, l.attachments, l.embeds, l.reactions,
+    coalesce(nullif(l.who.nickname, ''), l.who.name) AS display
+  FROM clusters c JOIN last_copy l ON c.channel = l.channel AND c.id = l.id
+), g AS (
+  SELECT channel, cluster, arg_min(id, n) AS first_id, left(first(stamp ORDER BY n), 10) AS date, first(display ORDER BY n) AS shared_by,
+    string_agg(coalesce(content, ''), chr(10) ORDER BY n) AS content, flatten(list(coalesce(attachments, []) ORDER BY n)) AS files,
+    list_filter(flatten(list(coalesce(embeds, []) ORDER BY n)), lambda e: e.title <> '' AND e.url <> '') AS embeds,
+    list_sum(list_transform(flatten(list(coalesce(reactions, []))), lambda r: coalesce(r.count, 0))) AS reactions, count(*) AS messages
+  FROM m GROUP BY 1, 2
+), h AS (
+  SELECT *, list_filter(list_transform(regexp_extract_all(content, '{_URL}'), lambda u: rtrim(u, '.,')), lambda u: {_OUTSIDE}) AS found FROM g
+), i AS (
+  SELECT *, list_filter(found, lambda u, k: list_position(found, u) = k) AS urls,
+    list_transform(list_filter(files, lambda a: NOT starts_with(a.url, 'http')), lambda a: 'raw/discord/' || channel || '/' || a.url) AS stored,
+    left(sha1(channel || '/' || first_id), 6) AS short_id FROM h
+), slugged AS (
+  SELECT *, regexp_replace(regexp_replace(lower(coalesce(list_filter(embeds, lambda e: e.url = urls[1])[-1].title,
+    substr(regexp_replace(content, '{_URL}', '', 'g'), 1, 80))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s,
+    list_transform(list_filter(embeds, lambda e, k: list_position(list_transform(embeds, lambda x: x.url), e.url) = k),
+      lambda e: '> unfurl: ' || list_filter(embeds, lambda x: x.url = e.url)[-1].title) AS unfurls FROM i
+), kinds AS (
+  SELECT channel, cluster, list_sort(list(DISTINCT {_SHARE_KIND})) AS kinds FROM (
+    SELECT channel, cluster, u, regexp_replace(lower(split_part(regexp_replace(u, '^https?://', ''), '/', 1)), '^www[.]', '') AS h
+    FROM (SELECT channel, cluster, unnest(urls) AS u FROM i)) GROUP BY 1, 2
+), said AS (
+  SELECT m.channel, m.cluster, string_agg(concat_ws(chr(10), '**' || display || '** (' || replace(left(stamp, 16), 'T', ' ') || '):', nullif(m.content, ''),
+    nullif(array_to_string(list_transform(attachments, lambda a: '*[attached: ' || a.fileName || ']*'), chr(10)), ''),
+    CASE WHEN n = m.cluster THEN nullif(array_to_string(unfurls, chr(10)), '') END, ''), chr(10) ORDER BY n) AS body
+  FROM m JOIN slugged s ON m.channel = s.channel AND m.cluster = s.cluster GROUP BY 1, 2
+), items AS (
+  SELECT concat_ws('-', date, coalesce(nullif(regexp_replace(substr(s.s, 1, 40), '-+$', ''), ''), 'untitled'), short_id) AS id, short_id, s.channel, shared_by, date, urls,
+    coalesce(kinds.kinds, ['text']) AS kinds, stored AS attachments, coalesce(reactions, 0)::BIGINT AS reactions, messages::INT AS messages, said.body,
+    len(urls) > 0 OR len(stored) > 0 OR length(trim(regexp_replace(regexp_replace(content, '{_URL}', '', 'g'), '{_BLANKS}', ' ', 'g'))) >= 200 AS kept
+  FROM slugged s JOIN said ON s.channel = said.channel AND s.cluster = said.cluster
+    LEFT JOIN kinds ON s.channel = kinds.channel AND s.cluster = kinds.cluster
+)"""
+
+
+@query(_CLUSTERS + " SELECT * FROM clusters")
 def cluster_by_replies(spark: SparkSession, d: str) -> DataFrame:
     return clusters.by_replies(clusters.posts(table(spark, d, "messages")))
 
 
-@query()
+@query(_ITEMS + " SELECT * EXCLUDE (kept) FROM items WHERE kept")
 def items_from_messages(spark: SparkSession, d: str) -> DataFrame:
     messages = table(spark, d, "messages")
     made = clusters.items(messages, clusters.by_replies(clusters.posts(messages)), DOMAINS)
     return made.where("kept").drop("kept")
 
 
-@query()
+@query(_ITEMS + """ SELECT channel, count(*) FILTER (WHERE kept AND x.short IS NULL) AS written, count(*) FILTER (WHERE NOT (kept AND x.short IS NULL)) AS skipped
+FROM items LEFT JOIN (SELECT DISTINCT split_part(id, '-', -1) AS short FROM exclusions WHERE id IS NOT NULL) x ON short_id = x.short GROUP BY 1""")
 def cluster_counters(spark: SparkSession, d: str) -> DataFrame:
     messages = table(spark, d, "messages")
     made = clusters.items(messages, clusters.by_replies(clusters.posts(messages)), DOMAINS)
