@@ -1,10 +1,12 @@
 """Texts cut off by field limits or in transfer.
 
-Per source the lengths of all texts, in characters and in bytes, form
-histograms; a length that is far more frequent than its neighbours is a limit.
-Texts at a limit that do not end like a text are cut.  Texts cut in transfer
-have any length; they are told by how they end: inside a word, or without the
-full stop that the rest of the text uses.
+``cut_at_limits``: per source the lengths of all texts, in characters and in
+bytes, form histograms; a length that is far more frequent than its neighbours
+is a limit.  Texts at a limit that do not end like a text are cut.
+
+``cut_in_transfer``: texts cut in transfer have any length, so that no
+histogram shows them; they are told by how they end: inside a word, or without
+the full stop that the rest of the text uses.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from siltstone.session import materialize, spread, task_udf
 
-#: A limit holds at least so many texts, and so many times the mean of its neighbours.
+#: A limit holds so many times the mean of its neighbours, and at least so many texts: fewer of one length are chance.
 SPIKE_TEXTS, SPIKE_TIMES, NEIGHBOURS = 4, 5.0, 25
 #: Shorter limits than this are no limits of texts.
 SHORTEST = 60
@@ -25,8 +27,12 @@ SLACK = 20
 #: A word that ends a sentence or line more rarely than this did not end one here (at a limit: the second).
 RARELY, RARELY_AT_LIMIT = 0.002, 0.05
 
-#: How often a word is seen that is well known.
+#: A word must have been seen so often for its never ending a sentence to say anything.
 KNOWN = 20
+#: Rows of a table of words up to which it is sent to all tasks; beyond, words are counted first and joined after.
+BROADCAST_ROWS = 200_000
+#: Characters at the end of a text that can hold what is appended at a cut.
+TAIL = 200
 
 # What is appended where a text is cut.
 APPENDED = regex.compile(
@@ -66,16 +72,15 @@ def ending(text: str) -> tuple[str, str | None]:
         return "whole", None
     if t.endswith("�"):
         return "cut", None
-    mark = APPENDED.search(t)
+    mark = APPENDED.search(t[-TAIL:])
     if mark and (len(mark.group(0)) < len(t)):
         return "cut", None
-    lines = [x for x in regex.split(r"\r\n|\r|\n", t) if x.strip()]
-    last = lines[-1].strip()
+    last = t[max(t.rfind("\n"), t.rfind("\r")) + 1:].strip()
     words = LAST_WORD.findall(last.rstrip("….") if last.endswith(("…", "...")) else last)
     word = regex.sub(r"\d", "9", words[-1]) if words else None
     if last.endswith(("…", "...")):
         return "dotted", word
-    if STOPPED.search(last) or EMOJI.search(t):
+    if STOPPED.search(last[-TAIL:]) or EMOJI.search(t[-1]):
         return "whole", None
     if t.count("```") % 2 or last.replace("```", "").count("`") % 2 or last.count("[[") > last.count("]]"):
         return "cut", None
@@ -90,6 +95,7 @@ def ending(text: str) -> tuple[str, str | None]:
     if CLOSING.fullmatch(last):
         return "whole", word
     number = words[-1].isdigit()
+    lines = [x for x in regex.split(r"\r\n|\r|\n", t) if x.strip()]
     bullets = [x for x in lines if BULLET.match(x)]
     if BULLET.match(lines[-1]):
         others = bullets[:-1]
@@ -144,33 +150,32 @@ def length_limits(lengths: DataFrame) -> DataFrame:
     ).select("source", "measure", F.col("length").alias("limit"), "texts")
 
 
-def word_endings(texts: DataFrame) -> DataFrame:
-    """(word, seen, final): how often a word of ``texts`` (text) occurs, and ends a sentence or a line."""
-    plain = texts.select(F.regexp_replace("text", r"\d", "9").alias("t"))
-    words = plain.select(F.explode(F.split("t", r"[^\p{L}\p{M}\p{N}'’-]+")).alias("word"), F.lit(0).alias("final"))
-    close = r"""([\p{L}\p{M}\p{N}'’-]+)(?:["'”’»)\]]*[.!?…。！？؟]+(?=[\s"”’»)\]]|$)|[ \t]*[\r\n])"""
-    finals = plain.select(F.explode(F.regexp_extract_all("t", F.lit(close), F.lit(1))).alias("word"), F.lit(1).alias("final"))
-    return (
-        words.unionByName(finals).where((F.col("word") != "") & (F.length("word") <= 40))
-        .groupBy("word").agg(F.count_if(F.col("final") == 0).alias("seen"), F.sum("final").alias("final"))
-    )
-
+def word_endings(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(word, seen, final): how often a word of ``asked`` (word, different) occurs in ``texts`` (text), and ends a sentence or a line."""
+    token = r"""[\p{L}\p{M}\p{N}'’-]+(?:["”»)\]]*[.!?…。！？؟]+(?=[\s"'”’»)\]]|$)|[ \t]*[\r\n])?"""
+    tokens = texts.select(F.explode(F.regexp_extract_all(F.regexp_replace("text", r"\d", "9"), F.lit(token), F.lit(0))).alias("token"))
+    words = tokens.select(F.rtrim("token", F.lit(" \t\r\n\"”»)].!?…。！？؟")).alias("word"), F.col("token"))
+    words = words.select("word", (F.length("word") < F.length("token")).alias("ends"))
+    if asked.count() <= BROADCAST_ROWS:
+        words = words.join(F.broadcast(asked.select("word")), "word", "left_semi")
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("seen"), F.count_if("ends").alias("final"))
 
-def truncated(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, at_limit) of the documents whose text was cut off.
 
-    ``documents``: doc_id, text, source, in which any value may be null; null
-    and blank texts were not cut, equal texts are judged alike (save for
-    their source's limits), and an empty table gives no rows.
-    """
+def endings(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, src, chars, bytes, hash, state, word) of all documents with a text; see ``ending``."""
     rows = spread(documents.select("doc_id", "text", "source")).where("text IS NOT NULL")
-    judged = materialize(
+    return materialize(
         rows.select(
             "doc_id", "source", F.coalesce("source", F.lit("")).alias("src"), F.length("text").alias("chars"),
             F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("hash"), _endings(F.col("text")).alias("e"),
         ).select("doc_id", "source", "src", "chars", "bytes", "hash", "e.state", "e.word"),
         "endings",
     )
+
+
+def placed_at_limits(judged: DataFrame) -> DataFrame:
+    """Rows of ``endings`` that are open or may be, with ``below``: characters or bytes up to the nearest limit of
+    their source, null if they are further than SLACK below each."""
     limits = length_limits(judged.select(F.col("src").alias("source"), "chars", "bytes", "hash").distinct())
     near = limits.select(
         F.col("source").alias("src"), "measure",
@@ -181,39 +186,66 @@ def truncated(documents: DataFrame) -> DataFrame:
     for measure in ("chars", "bytes"):
         own = near.where(F.col("measure") == measure).select("src", F.col("length").alias(measure), F.col("below").alias(f"{measure}_below"))
         open_ends = open_ends.join(own, ["src", measure], "left")
-    asked = open_ends.where("word IS NOT NULL AND state <> 'prose'").select("word", "state")
-    ends = asked.groupBy("word").agg(F.count(F.lit(1)).alias("last"))
-    stats = word_endings(documents.where("text IS NOT NULL").select("text")).join(ends, "word")
-    below = F.least("chars_below", "bytes_below")
-    share = F.coalesce(F.col("final") / F.col("seen"), F.lit(0.0))
-    state = F.col("state")
-    at_limit = below.isNotNull()
-    exactly = F.coalesce(below == 0, F.lit(False))
-    unlikely = share < F.when(at_limit, RARELY_AT_LIMIT).otherwise(RARELY)
+    return open_ends.withColumn("below", F.least("chars_below", "bytes_below")).drop("chars_below", "bytes_below")
+
+
+def cut_at_limits(placed: DataFrame) -> DataFrame:
+    """Rows of ``placed`` (with ``share`` and ``seen`` of their last word) at a spike of their source's lengths that do
+    not end like a text.
+
+    A length of exactly the limit proves more than one just below it, where
+    whole texts of the kind are as likely.
+    """
+    state, exactly, unlikely = F.col("state"), F.col("below") == 0, F.col("share") < RARELY_AT_LIMIT
     cut = (
-        state.isin("cut", "prose")
-        | ((state == "dotted") & (at_limit | unlikely))
+        state.isin("cut", "prose", "dotted", "name")
         | ((state == "list") & unlikely)
-        # who types without full stops may end with any word, so this one must be well known; at the
-        # length of a limit an unknown one is a part of a word
+        # who types without full stops may end with any word; at the length of a limit an unknown one is a part of a word
         | ((state == "informal") & unlikely & (exactly | (F.col("seen") >= KNOWN)))
         | ((state == "whole") & unlikely & exactly)
+    )
+    return placed.where(F.col("below").isNotNull() & F.coalesce(cut, F.lit(False)))
+
+
+def cut_in_transfer(placed: DataFrame) -> DataFrame:
+    """Rows of ``placed`` (with ``share``, ``seen`` and ``last`` of their last word) off all limits that were cut nevertheless."""
+    state, unlikely = F.col("state"), F.col("share") < RARELY
+    cut = (
+        state.isin("cut", "prose")
+        | (state.isin("dotted", "list") & unlikely)
+        | ((state == "informal") & unlikely & (F.col("seen") >= KNOWN))
         # a name that signs texts is seen at the end of texts only
-        | ((state == "name") & (at_limit | ((F.col("seen") > 2) & (F.col("last") * 2 < F.col("seen")))))
+        | ((state == "name") & (F.col("seen") > 2) & (F.col("last") * 2 < F.col("seen")))
+    )
+    return placed.where(F.col("below").isNull() & F.coalesce(cut, F.lit(False)))
+
+
+def truncated(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, at_limit) of the documents whose text was cut off, at a limit of their source or in transfer.
+
+    ``documents``: doc_id, text, source, in which any value may be null; null
+    and blank texts were not cut, equal texts are judged alike (save for
+    their source's limits), and an empty table gives no rows.
+    """
+    placed = materialize(placed_at_limits(endings(documents)), "open")
+    asked = placed.where("word IS NOT NULL AND state <> 'prose'").groupBy("word").agg(F.count(F.lit(1)).alias("last"))
+    asked = materialize(asked, "asked")
+    stats = word_endings(documents.where("text IS NOT NULL").select("text"), asked).join(asked, "word")
+    placed = materialize(
+        placed.join(stats, "word", "left").withColumn("share", F.coalesce(F.col("final") / F.col("seen"), F.lit(0.0))), "open"
     )
-    return (
-        open_ends.join(stats, "word", "left")
-        .where(F.coalesce(cut, F.lit(False)))
-        .select("doc_id", "source", at_limit.alias("at_limit"))
+    at, off = cut_at_limits(placed), cut_in_transfer(placed)
+    return at.select("doc_id", "source", F.lit(True).alias("at_limit")).unionByName(
+        off.select("doc_id", "source", F.lit(False).alias("at_limit"))
     )
 
 
 def truncation_report(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """Per source: documents, cut documents, those at a limit, and the share cut."""
-    cut = found.groupBy("source").agg(F.count(F.lit(1)).alias("cut"), F.count_if("at_limit").alias("at_limit"))
+    """Per source: documents, cut documents, those cut at a limit and those cut in transfer, and the share cut."""
+    cut = found.groupBy("source").agg(F.count_if("at_limit").alias("at_limit"), F.count_if(~F.col("at_limit")).alias("in_transfer"))
     every = documents.groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    at, off = F.coalesce("at_limit", F.lit(0)), F.coalesce("in_transfer", F.lit(0))
     return every.join(cut, every["source"].eqNullSafe(cut["source"]), "left").select(
-        every["source"], "documents", F.coalesce("cut", F.lit(0)).alias("cut"),
-        F.coalesce("at_limit", F.lit(0)).alias("at_limit"),
-        (F.coalesce("cut", F.lit(0)) / F.col("documents")).alias("share"),
+        every["source"], "documents", (at + off).alias("cut"), at.alias("at_limit"), off.alias("in_transfer"),
+        ((at + off) / F.col("documents")).alias("share"),
     )
