@@ -1,9 +1,11 @@
 """Template residue, filler, error pages and script notices in place of content.
 
-A text is cut into sentences.  A multi-pattern automaton over fixed phrases
-of several languages finds what it covers in each; a document is residue when
-the sentences so covered make up most of it, title and navigation left aside.
-Unfilled placeholders count wherever they stand outside code.
+One multi-pattern automaton holds phrases of several languages, the words of
+usual filler, and the opening marks of placeholders.  A text is cut into
+sentences; the automaton tells how much of each is covered, and a document is
+residue when the sentences so covered make up most of it, title and navigation
+left aside.  Unfilled placeholders count wherever they stand outside code: where
+the automaton meets an opening mark, the shape of what follows decides.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ PHRASES = {
         503 service unavailable|504 gateway timeout|unable to connect|connection refused|this site can't be reached
         account suspended|this account has been suspended|domain expired|this domain is for sale|domain is for sale
         domain has expired|is parked|down for planned maintenance|down for maintenance|under maintenance
-        server met a problem|could not finish your request|upstream server gave no answer|gave no answer in time
+        server met a problem|could not finish your request|upstream server|server gave no answer|gave no answer|no answer in time|did not answer
         has been told about the problem|our team has been notified|address has been blocked|blocked for unusual traffic
         unusual traffic|not available in your area|not available in your country|not available in your region
         content is not available|content unavailable|please try again in a few minutes|try again later
@@ -61,7 +63,7 @@ PHRASES = {
         turn on scripts|turn scripts on|enable scripts|scripts switched on|scripts are blocked|scripts are off
         while scripts are off|only with scripts|enable cookies and scripts|cookies and scripts|enable cookies
         cookies must be allowed|allow them and reload|to view this page|required for this application to run
-        in your browser to continue|reader app cannot run|to proceed to the article|checking your browser
+        in your browser to continue|app cannot run|application cannot run|cannot run without|will not work without|to proceed to the article|checking your browser
         your browser is being checked|browser is being checked|one moment|just a moment|verify you are human
         verifying you are human|whether you are a person|this takes a moment|are you a robot|i am not a robot
         complete the captcha|security check|protected by|ddos protection by|unsupported browser
@@ -84,7 +86,7 @@ PHRASES = {
         description to follow|text to follow|details to follow|will be added later|will be added soon|to be announced
         to be added|to be determined|tbd|tba|this is an example entry|this is an example page|this is a sample page
         this is a test|replace it with your own words|replace this text|hello there|hello world|another new site
-        just another site|another new blog|has not finished setting it up|asdf|qwerty|test test|foo bar|foo bar baz
+        just another site|another new blog|has not finished|not finished setting it up|still being set up|asdf|qwerty|test test|foo bar|foo bar baz
         hier entsteht eine neue|hier entsteht|platzhaltertext|beispieltext|blindtext|folgt in kürze|demnächst
         in kürze verfügbar|contenido próximamente|próximamente|texto de ejemplo|texto de relleno|en construcción
         en construction|bientôt disponible|contenu à venir|texte à venir|texte d'exemple|faux texte|prossimamente
@@ -93,7 +95,7 @@ PHRASES = {
         """,
     "chrome": """
         newsletter|archive|terms|cookie settings|contact|imprint|topics|sign in|home|about|follow us|search|retry
-        need help?|help|write to the site team|loading|log in|login|sign up|register|subscribe|menu|privacy|privacy policy
+        need help?|help|write to us|write to the|site team|contact us|loading|log in|login|sign up|register|subscribe|menu|privacy|privacy policy
         legal notice|cookies|share|skip to content|skip to main content|all rights reserved|copyright|code|message|status
         error|detail|title|reference|request id|ray id|impressum|kontakt|startseite|suche|anmelden|datenschutz|accueil
         recherche|connexion|mentions légales|inicio|buscar|contacto|aviso legal|rss|faq|blog|news|tags|categories|feedback
@@ -124,63 +126,130 @@ PLACEHOLDER = regex.compile(
     rf"|(?<![\w$])\{{(?i:{_WORDS})\}}|<(?i:{_WORDS})>|«(?i:{_WORDS})»|(?<!\w)\$(?i:{_WORDS})(?<=[A-Z])(?!\w)"
     rf"|\[(?:(?=[A-Z_. ]+\])(?i:{_WORDS}))\](?!\()|(?<!\w)(?:TODO|FIXME|TBD): ?(?i:{_WORDS})(?!\w)"
 )
+#: How placeholders begin; PLACEHOLDER decides from there on.
+OPENERS = "{{|{%|<%|${|#{|%(|%|__|@@|[[|[object object]|xxx|[|{|<|«|$|todo:|fixme:|tbd:".split("|")
 CODE = regex.compile(r"(?s)```.*?(?:```|$)|~~~.*?(?:~~~|$)|``[^\n]+?``|`[^`\n]*`|<code\b.*?</code>|<pre\b.*?</pre>")
 TAG = regex.compile(r"(?s)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)>|</?[a-zA-Z!][^<>]*>")
 SENTENCE = regex.compile(r"(?<=[.!?…])[\"”')\]]*\s+|(?<=[。！？])|\s*[\n\r|•·]+\s*|\s+[—–»›]\s+|\",\s*\"")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}']+")
-MASH = regex.compile(r"[asdfghjkl]+")
+#: Keys of one row of a keyboard, struck at random: no list of phrases can hold them.
+MASH = regex.compile(r"(?<!\w)[asdfghjkl]{4,}(?!\w)")
+MASHED = regex.compile(r"[asdfghjkl]+")
 #: Traces that servers add to their error pages.
 TRACE = regex.compile(
     r"(?<!\w)(?:request id|request|reference|incident|ray id|ray|session|trace id|error id|event id|ref|code)[:# ]+"
     r"(?:(?=[a-z-]*\d)[a-z0-9-]{4,40}|[a-z0-9]{6})(?![\w-])|(?<!\w)[a-z]+/\d+(?:\.\d+)*(?!\w)"
 )
-STATUS = regex.compile(r"\W*(?:error )?[45]\d\d\W*")
 #: A document is residue from this share of its text on, and a sentence from this share of its letters.
 COVERAGE, SENTENCE_COVERAGE = 0.6, 0.5
+#: Shares of a sentence's words that make it filler: words of Latin filler, words of made-up rows.
+LATIN_SHARE, DUMMY_SHARE = 0.8, 1.0
 
 RESULT = "struct<reason:string,coverage:double>"
 _ready: list = []
+_openers: list = []
 
 
 def _automaton() -> ahocorasick.Automaton:
+    """Phrases, and the words of filler, each with its kind."""
     if not _ready:
         a = ahocorasick.Automaton()
+        words = {"latin": LATIN, "dummy": DUMMY, "status": {str(n) for n in range(400, 600)}}
+        found: dict[str, list[str]] = {}
         for kind, text in PHRASES.items():
             for phrase in filter(None, (p.strip() for line in text.splitlines() for p in line.split("|"))):
-                a.add_word(phrase, (kind, len(phrase)))
+                found[phrase] = [kind]  # of equal phrases the last kind counts
+        for kind, some in words.items():
+            for word in some:
+                found.setdefault(word, []).append(kind)
+        for phrase, kinds in found.items():
+            a.add_word(phrase, (tuple(kinds), len(phrase)))
         a.make_automaton()
         _ready.append(a)
     return _ready[0]
 
 
+def _opening() -> ahocorasick.Automaton:
+    if not _openers:
+        a = ahocorasick.Automaton()
+        for mark in OPENERS:
+            a.add_word(mark, len(mark))
+        a.make_automaton()
+        _openers.append(a)
+    return _openers[0]
+
+
+def placeholder(text: str) -> bool:
+    """Whether a placeholder stands in the text outside code."""
+    marked = "`" in text or "~~~" in text or "<code" in text or "<pre" in text
+    prose = CODE.sub(" ", text) if marked else text
+    # as long as the text, which lower() may not keep
+    small = prose.lower() if prose.isascii() else "".join(c if len(c.lower()) != 1 else c.lower() for c in prose)
+    for last, size in _opening().iter(small):
+        found = PLACEHOLDER.match(prose, last + 1 - size)
+        if found:
+            tag = found.group(0)
+            if not (tag[0] == "<" and tag[1] != "%" and f"</{tag[1:]}" in text):
+                return True
+    return False
+
+
 def _whole(text: str, start: int, end: int) -> bool:
     """Whether text[start:end] ends at word borders (scripts without spaces have none)."""
     inner = lambda i: 0 <= i < len(text) and text[i].isalnum() and text[i] < "⺀"
     return not (inner(start - 1) and inner(start)) and not (inner(end - 1) and inner(end))
 
 
+def matches(text: str) -> list[tuple[int, int, tuple[str, ...]]]:
+    """(start, end, kinds) of what the automaton finds at word borders."""
+    return [
+        (last + 1 - size, last + 1, kinds) for last, (kinds, size) in _automaton().iter(text) if _whole(text, last + 1 - size, last + 1)
+    ]
+
+
+def _suspicious(text: str) -> bool:
+    """Whether any sentence of the text can be residue: a phrase is in it, or words of filler stand side by side or
+    begin a sentence.  Most proper texts end here."""
+    after = -9
+    for start, end, kinds in matches(text):
+        for kind in kinds:
+            if kind in ("error_page", "script_notice", "filler"):
+                return True
+            if kind == "latin":
+                if start - after <= 3:
+                    return True
+                after = end
+            if kind in ("dummy", "status"):
+                lead = text[max(0, start - 24):start].rstrip(" \t#>*-_={}[]:,\"'()0123456789")
+                if not lead or not lead[-1].isalnum():
+                    return True
+    return MASH.search(text) is not None
+
+
 def judge_sentence(sentence: str) -> tuple[str, float]:
     """What a sentence is (a kind of PHRASES, or text), and the share of it that patterns cover."""
     sentence = TRACE.sub(" ", sentence).strip()
     words = WORD.findall(sentence)
     if not words:
         return "chrome", 1.0
+    found = matches(sentence)
     spelled = [w for w in words if not w.isdigit()]
-    if len(words) >= 2 and sum(w in LATIN for w in words) >= 0.8 * len(words):
+    count = lambda kind: sum(kind in kinds for _, _, kinds in found)
+    if len(words) >= 2 and count("latin") >= LATIN_SHARE * len(words):
         return "filler", 1.0
-    if len(words) >= 2 and all(MASH.fullmatch(w) for w in words) and max(map(len, words)) >= 4:
+    if len(words) >= 2 and all(MASHED.fullmatch(w) for w in words) and max(map(len, words)) >= 4:
         return "filler", 1.0
-    if spelled and all(w in DUMMY for w in spelled):
+    if spelled and count("dummy") >= DUMMY_SHARE * len(spelled):
         return "filler", 1.0
-    if STATUS.fullmatch(sentence):
+    if count("status") == 1 and [w for w in words if w != "error"] == [w for w in words if w.isdigit()] and len(words) <= 2:
         return "error_page", 1.0
     if not spelled:
         return "chrome", 1.0
     covered, by = bytearray(len(sentence)), {}
-    for last, (kind, size) in _automaton().iter(sentence):
-        if _whole(sentence, last + 1 - size, last + 1):
-            covered[last + 1 - size:last + 1] = b"\1" * size
-            by[kind] = by.get(kind, 0) + size
+    for start, end, kinds in found:
+        if kinds[0] in PHRASES:
+            covered[start:end] = b"\1" * (end - start)
+            by[kinds[0]] = by.get(kinds[0], 0) + end - start
     letters = sum(c.isalnum() for c in sentence)
     share = sum(c.isalnum() and covered[i] for i, c in enumerate(sentence)) / letters
     hits = {k: v for k, v in by.items() if k != "chrome"}
@@ -190,14 +259,16 @@ def judge_sentence(sentence: str) -> tuple[str, float]:
 
 def judge(text: str) -> tuple[str | None, float]:
     """(reason, coverage) of one text; reason None if it is proper content."""
-    prose = CODE.sub(" ", text)
-    found = PLACEHOLDER.search(prose)
-    while found:
-        tag = found.group(0)
-        if not (tag[0] == "<" and tag[1] != "%" and f"</{tag[1:]}" in text):
-            return "placeholder", 1.0
-        found = PLACEHOLDER.search(prose, found.end())
-    plain = unicodedata.normalize("NFKC", html.unescape(TAG.sub("\n", prose))).replace("’", "'").casefold()
+    if placeholder(text):
+        return "placeholder", 1.0
+    marked = "`" in text or "~~~" in text or "<code" in text or "<pre" in text
+    prose = CODE.sub(" ", text) if marked else text
+    plain = TAG.sub("\n", prose) if "<" in prose else prose
+    plain = html.unescape(plain) if "&" in plain else plain
+    plain = plain if plain.isascii() else unicodedata.normalize("NFKC", plain).replace("’", "'")
+    plain = plain.casefold()
+    if not _suspicious(plain):
+        return None, 0.0
     lines = [x for x in (s.strip(" \t#>*-_={}[]:,\"") for s in SENTENCE.split(plain)) if x]
     sums = dict.fromkeys(PHRASES, 0) | {"text": 0}
     for at, line in enumerate(lines):
@@ -213,10 +284,10 @@ def judge(text: str) -> tuple[str | None, float]:
         if kind == "text" and title:
             continue
         sums[kind] += len(line)
-    residue = sums["error_page"] + sums["script_notice"] + sums["filler"]
-    if not residue:
+    found = sums["error_page"] + sums["script_notice"] + sums["filler"]
+    if not found:
         return None, 0.0
-    coverage = residue / (residue + sums["text"])
+    coverage = found / (found + sums["text"])
     if coverage < COVERAGE:
         return None, coverage
     return max(("error_page", "script_notice", "filler"), key=lambda k: sums[k]), coverage

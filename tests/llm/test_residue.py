@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.llm import residue as R
 from siltstone.llm.residue import judge, residue
 
 CASES = {
@@ -34,3 +35,14 @@ def test_column(spark):
     got = [r[0] for r in df.orderBy("i").select(residue(F.col("t"))["reason"]).collect()]
     assert got == [None, None, None, "error_page", None, "error_page"]
     assert spark.createDataFrame([], "t string").select(residue(F.col("t"))).count() == 0
+
+
+def test_the_automaton_finds_placeholders_and_words_of_filler():
+    found = ["Dear {{ name }}, welcome.", "Total: %(amount)s", "Hello %USER_NAME%, hello", "See [INSERT TITLE] for more", "Written by XXXX in spring", "Dear <First Name>,",
+             "TODO: title", "İ is a letter; <% name %> is none", "Hi $NAME, all is well"]
+    assert [R.placeholder(t) for t in found] == [True] * len(found)
+    kept = ["Write `{{ name }}` in the template.", "a [link](https://a.example)", "```\n${HOME}\n```", "prices from $5 to $9", "<title>A page</title>", "50% of it", "x[i] = {a}"]
+    assert [R.placeholder(t) for t in kept] == [False] * len(kept)
+    assert R.judge("Dolor magna sed tempor. Aliqua enim veniam.")[0] == "filler" and R.judge("Foo bar baz")[0] == "filler"
+    assert R.judge("asdf jkl asdfgh")[0] == "filler" and R.judge("404")[0] == "error_page" and R.judge("Error 503")[0] == "error_page"
+    assert R.judge("The section on tests gives a sample of 404 items, sit in and do read it.")[0] is None
