@@ -6,11 +6,13 @@ sessions):
 
 * ``reply_conversations``: the chain of references decides;
 * ``gap_sessions``: per channel, a silence longer than a calibrated gap does.
+
+``session_agreement`` tells how many replies the second puts with what they answer.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.chains import follow_pointers
@@ -150,25 +152,46 @@ def reply_conversations(messages: DataFrame) -> DataFrame:
     return _assemble(rows, ["channel", "root"], True).select("channel", "root", "turn", "id", "role", "author", "at")
 
 
-#: A silence longer than this share of a channel's silences splits sessions.
-GAP_SHARE = 0.9
+def calibrated_gaps(gaps: DataFrame) -> DataFrame:
+    """(channel, bits): the silences between messages (channel, gap in microseconds) that end a session.
+
+    Silences within a talk and between talks differ by orders of magnitude:
+    per channel, the histogram of their lengths in powers of two is cut where
+    the two sides differ most from each other (the most variance lies between
+    them), so that channels of slow and of fast talk get gaps of their own.  A
+    silence of more than ``bits`` binary digits ends a session; a channel whose
+    silences are all alike has no row and is one session.
+    """
+    histogram = gaps.where("gap IS NOT NULL").groupBy("channel", F.length(F.bin("gap")).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
+    # at most 64 rows a channel
+    upto = Window.partitionBy("channel").orderBy("bits")
+    every = Window.partitionBy("channel")
+    number, lengths = F.col("n").cast("double"), (F.col("n") * F.col("bits")).cast("double")
+    sums = histogram.select(
+        "channel", "bits", F.sum(number).over(upto).alias("w"), F.sum(lengths).over(upto).alias("m"),
+        F.sum(number).over(every).alias("all_w"), F.sum(lengths).over(every).alias("all_m"),
+    ).where("w < all_w")
+    apart = F.col("all_m") * F.col("w") - F.col("all_w") * F.col("m")
+    return sums.withColumn("apart", apart * apart / (F.col("w") * (F.col("all_w") - F.col("w")))).groupBy("channel").agg(
+        F.max_by("bits", F.struct("apart", -F.col("bits"))).alias("bits")
+    )
 
 
-def gap_sessions(messages: DataFrame, gap_share: float = GAP_SHARE) -> DataFrame:
+def gap_sessions(messages: DataFrame) -> DataFrame:
     """Sessions by silence: channel, session, turn, id, role, author, at.
 
-    Messages are sorted by instant per channel and split where the silence is
-    longer than the channel's ``gap_share`` quantile of silences.  Rows
-    without account or readable time belong to no session.  The first message
-    of a session opens it; sessions without content from another account are
+    Messages are sorted by instant per channel and split at silences of the
+    channel's calibrated length.  Rows without account or readable time belong
+    to no session.  The first message of a session opens it; sessions whose
+    opening message is empty or without content from another account are
     dropped.
     """
     rows = materialize(message_table(messages).where("author IS NOT NULL AND at IS NOT NULL").drop("parent", "opens"), "messages")
     rows = distributed_row_number(rows, ["channel"], ["at", "id"], "pos")
     gaps = carry_last(rows, ["channel"], "pos", F.col("at"), "prior", before=True).withColumn("gap", F.col("at") - F.col("prior"))
     gaps = materialize(gaps, "gaps")
-    limit = gaps.groupBy("channel").agg(F.percentile_approx("gap", gap_share, 1000).alias("limit"))
-    begins = F.col("gap").isNull() | (F.col("gap") > F.col("limit"))
+    limit = calibrated_gaps(gaps)
+    begins = F.col("gap").isNull() | F.coalesce(F.length(F.bin("gap")) > F.col("bits"), F.lit(False))
     starts = materialize(gaps.join(limit, "channel", "left").withColumn("start", F.when(begins, F.col("pos"))), "starts")
     sessions = carry_last(starts, ["channel"], "pos", F.col("start"), "session").select(
         "channel", "session", "id", "author", "at", "filled", F.col("start").isNotNull().alias("opens"), F.lit(False).alias("early")
@@ -176,3 +199,15 @@ def gap_sessions(messages: DataFrame, gap_share: float = GAP_SHARE) -> DataFrame
     return _assemble(materialize(sessions, "sessions"), ["channel", "session"], False).select(
         "channel", "session", "turn", "id", "role", "author", "at"
     )
+
+
+def session_agreement(messages: DataFrame) -> DataFrame:
+    """Per channel: replies in kept conversations, and those that ``gap_sessions`` has in one session with their opening message."""
+    chains = materialize(reply_conversations(messages).select("channel", "root", "id"), "chains")
+    sessions = materialize(gap_sessions(messages).select("channel", "session", "id"), "sessions")
+    replies = chains.where("id <> root").join(sessions, ["channel", "id"], "left")
+    opening = sessions.select("channel", F.col("id").alias("root"), F.col("session").alias("opened"))
+    both = lookup_join(materialize(replies, "replies"), opening, ["channel", "root"], "left")
+    return both.groupBy("channel").agg(
+        F.count(F.lit(1)).alias("replies"), F.count_if(F.coalesce(F.col("session") == F.col("opened"), F.lit(False))).alias("together")
+    )

@@ -25,6 +25,10 @@ def p1_gap_sessions(spark: SparkSession, d: str) -> DataFrame:
     return conversations.gap_sessions(table(spark, d, "messages"))
 
 
+def p1_gap_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.session_agreement(table(spark, d, "messages"))
+
+
 # the table's removal notices, spelled out; a mark of edits (an asterisk) may stand beside them
 _CHAINS = r"""
 WITH RECURSIVE copies AS (
@@ -56,10 +60,41 @@ WITH RECURSIVE copies AS (
 )
 """
 
-QUERIES = {"p1_found": p1_found, "p1_roles": p1_roles, "p1_gap_sessions": p1_gap_sessions}
+_SESSIONS = _CHAINS + """, timed AS (
+  SELECT channel, id, author, filled, epoch_us(moment) AS "at",
+    epoch_us(moment) - lag(epoch_us(moment)) OVER w AS gap, row_number() OVER w AS pos
+  FROM msg WHERE author IS NOT NULL AND moment IS NOT NULL WINDOW w AS (PARTITION BY channel ORDER BY epoch_us(moment), id)
+), histogram AS (
+  SELECT channel, length(bin(gap)) AS bits, count(*)::DOUBLE AS n FROM timed WHERE gap IS NOT NULL GROUP BY 1, 2
+), sums AS (
+  SELECT channel, bits, sum(n) OVER w AS w, sum(n * bits) OVER w AS m, sum(n) OVER (PARTITION BY channel) AS all_w, sum(n * bits) OVER (PARTITION BY channel) AS all_m
+  FROM histogram WINDOW w AS (PARTITION BY channel ORDER BY bits)
+), gaps AS (
+  SELECT channel, bits FROM sums WHERE w < all_w
+  QUALIFY row_number() OVER (PARTITION BY channel ORDER BY (all_m * w - all_w * m) * (all_m * w - all_w * m) / (w * (all_w - w)) DESC, bits) = 1
+), begun AS (
+  SELECT t.*, gap IS NULL OR coalesce(length(bin(gap)) > bits, false) AS opens FROM timed t LEFT JOIN gaps g ON t.channel = g.channel
+), placed AS (
+  SELECT *, max(CASE WHEN opens THEN pos END) OVER (PARTITION BY channel ORDER BY pos) AS session FROM begun
+), worth AS (
+  SELECT channel, session, max(CASE WHEN opens THEN author END) AS opener FROM placed GROUP BY 1, 2
+  HAVING bool_or(opens AND filled) AND count(DISTINCT CASE WHEN filled THEN author END) > 1
+), sessions AS (
+  SELECT p.channel, p.session, row_number() OVER (PARTITION BY p.channel, p.session ORDER BY "at", id::HUGEINT, id)::INT AS turn, id,
+    CASE WHEN author = opener THEN 'opener' ELSE 'replier' END AS role, author, "at"
+  FROM placed p JOIN worth w ON p.channel = w.channel AND p.session = w.session WHERE filled
+)
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_roles": p1_roles, "p1_gap_sessions": p1_gap_sessions, "p1_gap_agreement": p1_gap_agreement}
 ORACLES = {
     "p1_found": _CHAINS + "SELECT root AS root_id, turn::INT AS turn, id FROM turns",
     "p1_roles": _CHAINS
     + "SELECT channel, CASE WHEN opened THEN 'opener' ELSE 'replier' END AS role, count(*) AS messages,"
     " count(DISTINCT root) AS conversations FROM turns GROUP BY 1, 2",
+    "p1_gap_sessions": _SESSIONS + "SELECT * FROM sessions",
+    "p1_gap_agreement": _SESSIONS
+    + "SELECT t.channel, count(*) AS replies, count(*) FILTER (WHERE s.session = o.session) AS together FROM turns t"
+    " LEFT JOIN sessions s ON t.channel = s.channel AND t.id = s.id LEFT JOIN sessions o ON t.channel = o.channel AND t.root = o.id"
+    " WHERE t.id <> t.root GROUP BY 1",
 }

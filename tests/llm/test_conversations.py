@@ -89,14 +89,22 @@ def test_long_and_wide_threads_against_brute_force(spark):
 
 
 def test_gap_sessions(spark):
+    """Channels of fast and of slow talk get gaps of their own; the share of long silences does not matter."""
     rows = []
-    for s in range(20):
-        for k in range(6):
-            t = (dt.datetime(2024, 1, 1 + s, 9) + dt.timedelta(minutes=k)).isoformat()
-            rows.append(message(f"{s * 10 + k + 100}", "ab"[k % 2] if s else "a", t))
-    got = C.gap_sessions(spark.createDataFrame(rows, SCHEMA), 0.8).collect()
+    for channel, minutes, talks, each in (("fast", 1, 20, 6), ("slow", 600, 12, 3)):
+        for s in range(talks):
+            for k in range(each):
+                t = (dt.datetime(2024, 1, 1, 9) + dt.timedelta(days=30 * s, minutes=minutes * k)).isoformat()
+                rows.append(message(f"{s * 10 + k + (100 if channel == 'fast' else 5000)}", "ab"[k % 2] if s else "a", t, channel=channel))
+    got = C.gap_sessions(spark.createDataFrame(rows, SCHEMA)).collect()
     sizes = {}
     for r in got:
-        sizes.setdefault(r.session, []).append(r)
-    assert len(sizes) == 19 and all(len(v) == 6 for v in sizes.values())
+        sizes.setdefault((r.channel, r.session), []).append(r)
+    assert sorted((c, len(v)) for (c, _), v in sizes.items()) == [("fast", 6)] * 19 + [("slow", 3)] * 11
     assert all({r.role for r in v if r.author == "a"} == {"opener"} for v in sizes.values())
+
+
+def test_one_silence_is_no_gap(spark):
+    rows = [message(str(100 + k), "ab"[k % 2], (dt.datetime(2024, 1, 1, 9) + dt.timedelta(minutes=k)).isoformat()) for k in range(4)]
+    assert {r.session for r in C.gap_sessions(spark.createDataFrame(rows, SCHEMA)).collect()} == {1}
+    assert C.gap_sessions(spark.createDataFrame([], SCHEMA)).count() == 0
