@@ -20,6 +20,11 @@ def _part(url: Column, pattern: str) -> Column:
     return F.regexp_extract(url, pattern, 1)
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _decode(text: Column) -> Column:
     return F.coalesce(F.try_url_decode(text), F.replace(text, F.lit("+"), F.lit(" ")))
 
@@ -52,26 +57,39 @@ def canonical(url: Column) -> Column:
     of whose parameters only the video's stays.
     """
     u = F.regexp_replace(F.trim(url), r"[\t\r\n]", "")
-    host = F.regexp_replace(F.regexp_replace(authority(u), "^www[.]", ""), "^m[.]", "")
-    path = _part(u, r"^[^:/?#]+://[^/?#]*([^?#]*)")
-    short = host == "youtu.be"
-    pairs = F.when(
-        short, F.array(F.struct(F.lit("v").alias("name"), F.regexp_replace(path, "^/+", "").alias("value")))
-    ).otherwise(_pairs(_part(u, r"^[^?#]*\?([^#]*)")))
-    host = F.when(short, "youtube.com").otherwise(host)
-    path = F.when(short, "/watch").otherwise(F.regexp_replace(path, "/+$", ""))
-    kept = F.filter(
-        pairs,
-        lambda p: ~p["name"].isin(TRACKING) & (p["value"] != "") & ((host != "youtube.com") | (p["name"] == "v")),
-    )
-    query = F.array_join(F.transform(kept, lambda p: F.concat(_encode(p["name"]), F.lit("="), _encode(p["value"]))), "&")
-    whole = F.concat(F.lit("https://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), whole)
+
+    def parts(u: Column) -> Column:
+        site = F.regexp_replace(F.regexp_replace(authority(u), "^www[.]", ""), "^m[.]", "")
+        return F.struct(u.alias("u"), site.alias("site"), _part(u, r"^[^:/?#]+://[^/?#]*([^?#]*)").alias("path"))
+
+    def asked(p: Column) -> Column:
+        """The parameters that stay, written."""
+        video = F.array(F.struct(F.lit("v").alias("name"), F.regexp_replace(p["path"], "^/+", "").alias("value")))
+        given = F.when(p["site"] == "youtu.be", video).otherwise(_pairs(_part(p["u"], r"^[^?#]*\?([^#]*)")))
+        of_video = p["site"].isin("youtube.com", "youtu.be")
+        kept = F.filter(given, lambda x: ~x["name"].isin(TRACKING) & (x["value"] != "") & (~of_video | (x["name"] == "v")))
+        query = F.array_join(F.transform(kept, lambda x: F.concat(_encode(x["name"]), F.lit("="), _encode(x["value"]))), "&")
+        # most links have no parameters
+        return F.when((p["site"] == "youtu.be") | F.contains(p["u"], F.lit("?")), query).otherwise("")
+
+    def whole(p: Column) -> Column:
+        short = p["site"] == "youtu.be"
+        return _once(asked(p), lambda q: F.concat(
+            F.lit("https://"), F.when(short, "youtube.com").otherwise(p["site"]),
+            F.when(short, "/watch").otherwise(F.regexp_replace(p["path"], "/+$", "")), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""),
+        ))
+
+    return F.when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), _once(_once(u, parts), whole))
+
+
+def hash_of(link: Column) -> Column:
+    """First ten hexadecimal digits of the SHA-1 of a link in canonical form."""
+    return F.left(F.sha1(link), F.lit(10))
 
 
 def link_hash(url: Column) -> Column:
-    """First ten hexadecimal digits of the SHA-1 of the canonical form."""
-    return F.left(F.sha1(canonical(url)), F.lit(10))
+    """``hash_of`` the canonical form."""
+    return hash_of(canonical(url))
 
 
 def host(url: Column) -> Column:

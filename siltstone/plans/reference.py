@@ -127,7 +127,8 @@ def _real_hosts(url):
 @query(f"SELECT DISTINCT url, {_canon('url')} AS canonical, left(sha1({_canon('url')}), 10) AS hash FROM (SELECT unnest(urls) AS url FROM corpus) WHERE url IS NOT NULL")
 def url_canonical(spark: SparkSession, d: str) -> DataFrame:
     each = _corpus_urls(spark, d)
-    return each.select("url", urls.canonical(F.col("url")).alias("canonical"), urls.link_hash(F.col("url")).alias("hash"))
+    known = each.select("url", urls.canonical(F.col("url")).alias("canonical"))
+    return known.select("url", "canonical", urls.hash_of(F.col("canonical")).alias("hash"))
 
 
 @query(f"""WITH u AS (SELECT DISTINCT {_real('url')} AS url FROM (SELECT unnest(urls) AS url FROM corpus) WHERE url IS NOT NULL),
