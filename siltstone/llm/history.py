@@ -8,14 +8,18 @@ and words are kept beside.  A new text probes its cells from the rarest on, and
 stops when the cells left are too few for any text within the distance; what
 it met there is compared word by word unless the sets of words rule it out.
 No bound loses a pair: see ``_possible``.
+
+The tables are cut into buckets by the hash of what they are looked up by.  A
+batch reads the buckets that its keys and cells fall into, the narrow columns
+of the vectors that it meets there, and the words of candidates only; nothing
+of the index is written again.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +40,12 @@ BITS = ["b0", "b1", "b2", "b3"]
 #: Cells with more texts than this are probed in steps, the oldest texts first.
 CROWDED, STEP, GROWTH, BLOCK = 1000, 4, 8, 4096
 
+#: Default number of buckets of an index; it is fixed with the first batch and should grow with the index to come.
+BUCKETS = 32
+
 KEYS = "kind string, key string, seq bigint"
 CELLS = "cell bigint, cls bigint, n int"
-VECTORS = "cls bigint, n int, words array<string>, cells array<bigint>, " + ", ".join(f"{b} bigint" for b in BITS)
+VECTORS = "cls bigint, n int, words array<string>, " + ", ".join(f"{b} bigint" for b in BITS)
 NEAR = "cls bigint, near bigint"
 
 
@@ -50,7 +57,9 @@ def plain_text(body: Column) -> Column:
 
 def prepare(rows: DataFrame) -> DataFrame:
     """(seq, batch, id, links, words) of corpus rows: sorted canonical links, words of long texts."""
-    text = plain_text(F.col("body"))
+    # a column of its own, as it is used twice
+    rows = rows.withColumn("__text", plain_text(F.col("body")))
+    text = F.col("__text")
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
     links = F.filter(F.transform("urls", canonical), lambda u: u.isNotNull())
     return rows.select(
@@ -71,35 +80,60 @@ def _keys(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(kinds).alias("k"), "seq").select("k.kind", "k.key", "seq").where("key IS NOT NULL")
 
 
-def _bits(words: Column) -> Column:
-    """The set of words, each as one of the bits of BITS."""
-    @task_udf("struct<" + ", ".join(f"{b}: bigint" for b in BITS) + ">")
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits, each of which depends on all bits of ``x``."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def pair_cells(words: pa.ListArray) -> tuple[pa.ListArray, np.ndarray]:
+    """Cells of texts: hashes of the n + 1 pairs of neighbouring words, the ends being neighbours too, and sets of
+    words as bits of BITS.
+
+    A pair that comes again in a text is another cell each time.
+    """
+    flat = words.flatten().dictionary_encode()
+    names = np.array([xxhash.xxh64_intdigest(w) for w in flat.dictionary.to_pylist()], np.uint64)
+    hashes = names[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.uint64)
+    sizes = np.asarray(words.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+    texts, wide = len(sizes), sizes + 1
+    row, own = np.repeat(np.arange(texts), wide), np.repeat(np.arange(texts), sizes)
+    starts = np.concatenate([[0], np.cumsum(wide)])
+    at = np.arange(len(hashes)) + own
+    left, right = np.full(len(row), 94, np.uint64), np.full(len(row), 36, np.uint64)
+    left[at + 1], right[at] = hashes, hashes
+    with np.errstate(over="ignore"):
+        pairs = _mixed(left * np.uint64(0x9E3779B97F4A7C15) + _mixed(right + np.uint64(1)))
+    # how often a pair was there before in its text
+    order = np.lexsort((pairs, row))
+    first = np.ones(len(order), bool)
+    first[1:] = (row[order][1:] != row[order][:-1]) | (pairs[order][1:] != pairs[order][:-1])
+    place = np.arange(len(order))
+    again = place - np.maximum.accumulate(np.where(first, place, 0)) if len(order) else place
+    with np.errstate(over="ignore"):
+        cells = _mixed(pairs[order] + again.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    bits = np.zeros((texts, 64 * len(BITS)), np.uint8)
+    bits[own, (hashes % np.uint64(64 * len(BITS))).astype(np.int64)] = 1
+    packed = np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(texts, len(BITS))
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(cells.view(np.int64))), packed
+
+
+def _cells(words: Column) -> Column:
+    """``pair_cells`` of a column, as a struct."""
+    @task_udf("struct<cells: array<bigint>, " + ", ".join(f"{b}: bigint" for b in BITS) + ">")
     def of(texts: pa.Array) -> pa.Array:
-        flat = texts.flatten().dictionary_encode()
-        places = np.array([zlib.crc32(w.encode()) % (64 * len(BITS)) for w in flat.dictionary.to_pylist()], np.int64)
-        sizes = np.diff(texts.offsets.to_numpy())
-        table = np.zeros((len(texts), 64 * len(BITS)), np.uint8)
-        table[np.repeat(np.arange(len(texts)), sizes), places[flat.indices.to_numpy()]] = 1
-        packed = np.packbits(table, axis=1, bitorder="little").view("<i8")
-        return pa.StructArray.from_arrays([pa.array(packed[:, i]) for i in range(len(BITS))], BITS)
+        cells, packed = pair_cells(texts)
+        return pa.StructArray.from_arrays([cells, *[pa.array(packed[:, i]) for i in range(len(BITS))]], ["cells", *BITS])
 
     return of(words)
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
-    """(cls, n, words, cells, bits) of rows with words: n + 1 cells, as the ends of a text are neighbours too.
-
-    A pair of words that comes again in a text is another cell each time.
-    """
-    padded = F.concat(F.array(F.lit("^")), F.col("words"), F.array(F.lit("$")))
-    pairs = rows.where("size(words) > 0").select(
-        F.col("seq").alias("cls"), F.size("words").alias("n"), "words", _bits(F.col("words")).alias("bits"),
-        padded.alias("padded"),
-    ).select("cls", "n", "words", "bits.*", F.array_sort(F.transform(
-        F.sequence(F.lit(1), F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("padded", i, 2), " "))
-    )).alias("pairs"))
-    again = F.transform("pairs", lambda x, i: F.xxhash64(x, i + 1 - F.array_position("pairs", x)))
-    return pairs.select("cls", "n", "words", again.alias("cells"), *BITS)
+    """(cls, n, words, cells, bits) of rows with words: n + 1 cells."""
+    some = rows.where("size(words) > 0").select(F.col("seq").alias("cls"), F.size("words").alias("n"), "words")
+    return some.select("cls", "n", "words", _cells(F.col("words")).alias("v")).select("cls", "n", "words", "v.*")
 
 
 def _possible() -> Column:
@@ -112,7 +146,9 @@ def _possible() -> Column:
     first of these has at least as many of the text's own cells from it on.
     """
     n, k = F.col("n"), F.col("other_n")
-    least = F.ceil(SAME / 2 * (n + k) - 1e-9)
+    # in hundredths, so that no rounding is in the way
+    per = round(50 * SAME)
+    least = F.floor((per * (n + k) + 99) / 100).cast("int")
     shared = 3 * least + 1 - n - k
 
     def missing(a: str, b: str) -> Column:
@@ -120,11 +156,19 @@ def _possible() -> Column:
         return sum(each[1:], each[0])
 
     return (
-        (F.col("other") < F.col("cls")) & (F.col("at") <= n + 1 - shared) & (F.col("other_at") <= k + 1 - shared)
+        (F.col("other") < F.col("cls"))
+        # the next two say the same without rounding and so a little less, but cost next to nothing
+        & (k <= F.col("most")) & (n <= F.col("other_most")) & (F.col("at") <= n + 1 - shared) & (F.col("other_at") <= k + 1 - shared)
         & (missing("", "other_") <= n - least) & (missing("other_", "") <= k - least)
     )
 
 
+def _most(n: Column, at: Column) -> Column:
+    """Words of the longest text that a text of n words may be the same as, if their first cell in common is at place
+    ``at``: solves at <= n + 1 - shared (see ``_possible``) for k, ``least`` not rounded."""
+    return F.floor(((2 - 1.5 * SAME) * n - at) / (1.5 * SAME - 1) + 1e-6).cast("int")
+
+
 def common_words(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, a row of bits at a time."""
     places: dict[str, int] = {}
@@ -154,18 +198,28 @@ class History:
     batch that was appended twice changes nothing: first rows stay first.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
         self.spark = spark
         self.path = path or scratch_path(spark, "history")
+        self.buckets = buckets
         self._filled = path is not None
 
-    def _table(self, name: str, schema: str) -> DataFrame:
+    def _bucket(self, *by: str) -> Column:
+        return F.pmod(F.xxhash64(*by), F.lit(self.buckets)).cast("int")
+
+    def _table(self, name: str, schema: str, touched: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+        """A table of the index; of ``touched`` (``by``) given, the buckets it falls into only, of which the driver learns the numbers."""
         if not self._filled:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        found = self.spark.read.schema(f"{schema}, bucket int").parquet(f"{self.path}/{name}")
+        if touched is not None:
+            numbers = [r[0] for r in touched.select(self._bucket(*by).alias("b")).distinct().collect()]
+            found = found.where(F.col("bucket").isin(numbers) if len(numbers) < self.buckets else F.lit(True))
+        return found.drop("bucket")
 
-    def _append(self, name: str, df: DataFrame) -> None:
-        df.write.mode("append").parquet(f"{self.path}/{name}")
+    def _append(self, name: str, df: DataFrame, *by: str) -> None:
+        cut = df.withColumn("bucket", self._bucket(*by)).repartition("bucket")
+        cut.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{name}")
 
     def accept(self, rows: DataFrame) -> DataFrame:
         """(seq, first): the first accepted or earlier row that each row of the batch repeats.
@@ -177,17 +231,18 @@ class History:
         """
         keys = materialize(_keys(rows), "keys")
         asked = keys.select("kind", "key").distinct()
-        known = self._table("keys", KEYS).join(asked, ["kind", "key"], "left_semi")
+        known = self._table("keys", KEYS, asked, ["kind", "key"]).join(asked, ["kind", "key"], "left_semi")
         first = materialize(known.unionByName(keys).groupBy("kind", "key").agg(F.min("seq").alias("first")), "first")
         fresh = first.where("kind = 'text'").select(F.col("first").alias("seq"))
         new = materialize(_vectors(spread(rows.join(fresh, "seq", "left_semi"))), "vectors")
         near = self._near(new)
-        self._append("keys", keys.groupBy("kind", "key").agg(F.min("seq").alias("seq")))
-        self._append("vectors", new)
-        self._append("cells", new.select(F.explode("cells").alias("cell"), "cls", "n"))
-        self._append("near", near)
+        self._append("keys", keys.groupBy("kind", "key").agg(F.min("seq").alias("seq")), "kind", "key")
+        self._append("vectors", new.drop("cells"), "cls")
+        self._append("cells", new.select(F.explode("cells").alias("cell"), "cls", "n"), "cell")
+        self._append("near", near, "cls")
         self._filled = True
-        like = self._table("near", NEAR).groupBy(F.col("cls").alias("first")).agg(F.min("near").alias("near"))
+        texts = first.where("kind = 'text'").select(F.col("first").alias("cls"))
+        like = self._table("near", NEAR, texts, ["cls"]).groupBy(F.col("cls").alias("first")).agg(F.min("near").alias("near"))
         known = first.join(like.withColumn("kind", F.lit("text")), ["kind", "first"], "left")
         hits = lookup_join(keys, known, ["kind", "key"], "inner").select(
             "seq", F.least("near", F.when(F.col("first") < F.col("seq"), F.col("first"))).alias("first")
@@ -197,7 +252,8 @@ class History:
     def _near(self, new: DataFrame) -> DataFrame:
         """(cls, near): the oldest text that is nearly the same as each of ``new``, in index or batch."""
         own = materialize(new.select(F.explode("cells").alias("cell"), "cls"), "own")
-        old = self._table("cells", CELLS).select("cell", "cls").join(own.select("cell").distinct(), "cell", "left_semi")
+        asked_cells = own.select("cell").distinct()
+        old = self._table("cells", CELLS, asked_cells, ["cell"]).select("cell", "cls").join(asked_cells, "cell", "left_semi")
         # a cell with one text has nothing to be found
         sizes = old.unionByName(own).groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         sizes = materialize(sizes, "sizes")
@@ -207,36 +263,41 @@ class History:
         ).join(new.select("cls", "n", *BITS), "cls").select("cls", "n", *BITS, F.posexplode("c").alias("at", "c"))
         asked = (F.col("c.size") > 1) & (F.col("at") <= F.floor(PROBED * F.col("n") + 1e-9))
         columns = ["cell", "cls", "n", "at", "size", *BITS]
+        most = _most(F.col("n"), F.col("at")).alias("most")
         probes = ranked.where(asked).withColumn("cell", F.col("c.cell")).withColumn("size", F.col("c.size")).select(columns)
         # cells of texts in the index are in no order, so that all of them are met
         met = old.join(sizes, "cell").join(self._table("vectors", VECTORS).select("cls", "n", *BITS), "cls")
-        entries = materialize(probes.unionByName(met.withColumn("at", F.lit(-1)).select(columns)), "cells")
-        vectors = self._table("vectors", VECTORS).unionByName(new).select("cls", "words")
+        entries = materialize(probes.unionByName(met.withColumn("at", F.lit(-1)).select(columns)).select("*", most), "cells")
+        new = new.select("cls", "words")
         quiet = entries.where(F.col("size") <= CROWDED)
         pairs = quiet.where("at >= 0").join(self._others(quiet), "cell").where(_possible()).select("cls", "other")
-        found = self._same(materialize(pairs.distinct(), "met"), vectors)
+        found = self._same(materialize(pairs.distinct(), "met"), new)
         crowded = entries.where(F.col("size") > CROWDED)
         if not crowded.isEmpty():
-            found = found.unionByName(self._crowded(crowded, vectors))
+            found = found.unionByName(self._crowded(crowded, new))
         return materialize(found.groupBy("cls").agg(F.min("other").alias("near")), "near")
 
     @staticmethod
     def _others(entries: DataFrame, *more: str) -> DataFrame:
-        named = {"cls": "other", "n": "other_n", "at": "other_at", **{b: f"other_{b}" for b in BITS}}
+        named = {"cls": "other", "n": "other_n", "at": "other_at", "most": "other_most", **{b: f"other_{b}" for b in BITS}}
         return entries.select("cell", *more, *[F.col(a).alias(b) for a, b in named.items()])
 
-    @staticmethod
-    def _same(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-        """Pairs (cls, other) whose words agree in order."""
-        mine = vectors.withColumnRenamed("words", "a")
-        theirs = vectors.select(F.col("cls").alias("other"), F.col("words").alias("b"))
+    def _same(self, pairs: DataFrame, new: DataFrame) -> DataFrame:
+        """Pairs (cls, other) whose words agree in order; cls is of the batch ``new`` (cls, words).
+
+        Of the index the words of candidates are read only.
+        """
+        mine = new.withColumnRenamed("words", "a")
+        known = self._table("vectors", VECTORS, pairs.select(F.col("other").alias("cls")), ["cls"]).select("cls", "words")
+        theirs = known.unionByName(new).withColumnsRenamed({"cls": "other", "words": "b"})
+        theirs = theirs.join(pairs.select("other").distinct(), "other", "left_semi")
         both = pairs.join(mine, "cls").join(theirs, "other")
         # words of one text that the other lacks can be in no common order
         spare = lambda x: F.size(x) - SAME / 2 * (F.size("a") + F.size("b"))
         alike = (F.size(F.array_except("a", "b")) <= spare("a")) & (F.size(F.array_except("b", "a")) <= spare("b"))
         return materialize(both.where(alike & (_likeness(F.col("a"), F.col("b")) >= SAME)).select("cls", "other"), "same")
 
-    def _crowded(self, entries: DataFrame, vectors: DataFrame) -> DataFrame:
+    def _crowded(self, entries: DataFrame, new: DataFrame) -> DataFrame:
         """Pairs found in crowded cells, for each text and cell at least the oldest there is.
 
         In each step the unanswered probes of a cell meet its next STEP
@@ -252,7 +313,7 @@ class History:
             # a crowded cell's probes are cut into blocks, each of which meets the same few texts
             met = left.withColumn("block", F.floor(F.col("rank") / BLOCK)).join(window, ["cell", "block"])
             met = materialize(met.where(_possible()).select("cell", "cls", "other"), "met")
-            same = self._same(met.select("cls", "other").distinct(), vectors)
+            same = self._same(met.select("cls", "other").distinct(), new)
             found = same if found is None else found.unionByName(same)
             answered = met.join(same, ["cls", "other"], "left_semi").select("cell", "cls").distinct()
             left = materialize(left.where(F.col("rank") > hi).join(answered, ["cell", "cls"], "left_anti"), "left")
