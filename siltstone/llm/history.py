@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.urls import LINK, canonical
 from siltstone.operators.ranking import distributed_row_number
 from siltstone.operators.skew import lookup_join
-from siltstone.session import materialize, scratch_path, spread, task_udf
+from siltstone.session import materialize, scratch_path, ship, spread, task_udf, width
 
 #: Letters from which on a text is compared.
 SHORTEST_TEXT = 200
@@ -37,8 +37,8 @@ SAME = 0.8
 PROBED = 1 - (3 * SAME / 2 - 1) * (1 + SAME / (2 - SAME))
 #: Words of a text are also kept as a set of bits, in so many numbers of 64.
 BITS = ["b0", "b1", "b2", "b3"]
-#: Cells with more texts than this are probed in steps, the oldest texts first.
-CROWDED, STEP, GROWTH, BLOCK = 1000, 4, 8, 4096
+#: Cells with more texts than this are probed in steps, the oldest texts first, and in blocks of so many.
+CROWDED, STEP, GROWTH, BLOCK = 4096, 4, 8, 4096
 
 #: Default number of buckets of an index; it is fixed with the first batch and should grow with the index to come.
 BUCKETS = 32
@@ -136,37 +136,108 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return some.select("cls", "n", "words", _cells(F.col("words")).alias("v")).select("cls", "n", "words", "v.*")
 
 
-def _possible() -> Column:
-    """Whether cls and other may be the same, by lengths, places among their cells, and sets of words.
+def _most(n: Column, at: Column) -> Column:
+    """Words of the longest text that a text of n words may be the same as, if their first cell in common is at place
+    ``at``: solves at <= n + 1 - shared (see ``_possible``) for k, ``least`` not rounded."""
+    return F.floor(((2 - 1.5 * SAME) * n - at) / (1.5 * SAME - 1) + 1e-6).cast("int")
+
+
+def _possible(x: dict, mine: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i of ``mine``, j of ``theirs``) of rows of one cell that may be the same, j being older.
 
     Texts of n and k words that are the same have at least ``least`` = SAME / 2 * (n + k)
     words in common order.  With the ends of the texts these are least + 1 pairs of
     neighbours, and each of the n + k - 2 * least other words parts one of them at
     most; the rest are cells in common.  If both order their cells alike, the
-    first of these has at least as many of the text's own cells from it on.
+    first of these has at least as many of the text's own cells from it on.  And
+    words that only one of them has, told by their bits, are none of the common ones.
     """
-    n, k = F.col("n"), F.col("other_n")
-    # in hundredths, so that no rounding is in the way
+    # theirs are in order of age, so that those after the youngest of mine are out
+    theirs = theirs[:np.searchsorted(x["cls"][theirs], x["cls"][mine].max())]
+    n, k = x["n"][mine].astype(np.int32)[:, None], x["n"][theirs].astype(np.int32)[None, :]
+    lacking = np.zeros((len(mine), len(theirs)), np.uint8)
+    for word in x["bits"]:
+        lacking += np.bitwise_count(word[mine][:, None] & ~word[theirs][None, :])
+    # the same bounds not rounded, and so a little weaker, but cheap; what is left is looked at exactly
     per = round(50 * SAME)
-    least = F.floor((per * (n + k) + 99) / 100).cast("int")
-    shared = 3 * least + 1 - n - k
+    some = 100 * lacking.astype(np.int32) <= (100 - per) * n - per * k
+    some &= (k <= x["most"][mine][:, None]) & (n <= x["most"][theirs][None, :]) & (x["cls"][theirs][None, :] < x["cls"][mine][:, None])
+    i, j = np.nonzero(some)
+    i, j = mine[i], theirs[j]
+    for check in (_enough_cells, _enough_words):
+        good = check(x, i, j)
+        i, j = i[good], j[good]
+    return i, j
 
-    def missing(a: str, b: str) -> Column:
-        each = [F.bit_count(F.col(a + x).bitwiseAND(F.bitwise_not(F.col(b + x)))) for x in BITS]
-        return sum(each[1:], each[0])
 
-    return (
-        (F.col("other") < F.col("cls"))
-        # the next two say the same without rounding and so a little less, but cost next to nothing
-        & (k <= F.col("most")) & (n <= F.col("other_most")) & (F.col("at") <= n + 1 - shared) & (F.col("other_at") <= k + 1 - shared)
-        & (missing("", "other_") <= n - least) & (missing("other_", "") <= k - least)
-    )
+def _least(n: np.ndarray, k: np.ndarray) -> np.ndarray:
+    # in hundredths, so that no rounding is in the way
+    return (round(50 * SAME) * (n + k) + 99) // 100
 
 
-def _most(n: Column, at: Column) -> Column:
-    """Words of the longest text that a text of n words may be the same as, if their first cell in common is at place
-    ``at``: solves at <= n + 1 - shared (see ``_possible``) for k, ``least`` not rounded."""
-    return F.floor(((2 - 1.5 * SAME) * n - at) / (1.5 * SAME - 1) + 1e-6).cast("int")
+def _enough_cells(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    n, k = x["n"][i], x["n"][j]
+    shared = 3 * _least(n, k) + 1 - n - k
+    return (x["at"][i] <= n + 1 - shared) & (x["at"][j] <= k + 1 - shared)
+
+
+def _enough_words(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    n, k = x["n"][i], x["n"][j]
+    least = _least(n, k)
+    mine = sum(np.bitwise_count(word[i] & ~word[j]).astype(np.int64) for word in x["bits"])
+    theirs = sum(np.bitwise_count(word[j] & ~word[i]).astype(np.int64) for word in x["bits"])
+    return (mine <= n - least) & (theirs <= k - least)
+
+
+#: Rows that are compared with others at a time.
+AT_ONCE = 128
+ENTRY = ["meet", "cls", "n", "at", "most", "probe", "target", *BITS]
+MET = "meet bigint, cls bigint, other bigint"
+
+
+def _rows(x: dict, of) -> dict:
+    return {c: [of(w) for w in v] if c == "bits" else of(v) for c, v in x.items()}
+
+
+def _meet(batches):
+    """Pairs that may be the same, of Arrow batches of ENTRY rows in order of ``meet`` and ``cls``."""
+    rest = None
+    for batch in batches:
+        x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ENTRY if c not in BITS}
+        x["bits"] = [batch.column(b).to_numpy(zero_copy_only=False).view(np.uint64) for b in BITS]
+        if rest is not None:
+            x = {c: [np.concatenate(w) for w in zip(rest[c], v)] if c == "bits" else np.concatenate([rest[c], v]) for c, v in x.items()}
+        if not len(x["meet"]):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], x["meet"][1:] != x["meet"][:-1]]))
+        yield from _pairs_of(x, starts)
+        # the last group may go on in the next batch
+        rest = _rows(x, lambda v, at=starts[-1]: v[at:])
+    if rest is not None:
+        yield from _pairs_of(rest, np.array([0, len(rest["meet"])]))
+
+
+def _pairs_of(x: dict, starts: np.ndarray):
+    """Pairs of the groups between ``starts``; what follows the last start is left."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for lo, hi in zip(starts[:-1], starts[1:]):
+        mine, theirs = lo + np.flatnonzero(x["probe"][lo:hi]), lo + np.flatnonzero(x["target"][lo:hi])
+        for at in range(0, len(mine), AT_ONCE):
+            pairs = _possible(x, mine[at:at + AT_ONCE], theirs)
+            if len(pairs[0]):
+                found.append(pairs)
+    if found:
+        i, j = (np.concatenate(side) for side in zip(*found))
+        yield pa.RecordBatch.from_arrays([pa.array(x["meet"][i]), pa.array(x["cls"][i]), pa.array(x["cls"][j])], names=["meet", "cls", "other"])
+
+
+def meetings(entries: DataFrame) -> DataFrame:
+    """(meet, cls, other): texts ``cls`` (``probe``) and older ones (``target``) of one ``meet`` that may be the same.
+
+    Rows of one ``meet`` are compared in one task, which holds them all; callers keep them to a few thousand.
+    """
+    ship(entries.sparkSession)
+    return entries.select(ENTRY).repartition(width(entries.sparkSession), "meet").sortWithinPartitions("meet", "cls").mapInArrow(_meet, MET)
 
 
 def common_words(a: list[str], b: list[str]) -> int:
@@ -269,19 +340,13 @@ class History:
         met = old.join(sizes, "cell").join(self._table("vectors", VECTORS).select("cls", "n", *BITS), "cls")
         entries = materialize(probes.unionByName(met.withColumn("at", F.lit(-1)).select(columns)).select("*", most), "cells")
         new = new.select("cls", "words")
-        quiet = entries.where(F.col("size") <= CROWDED)
-        pairs = quiet.where("at >= 0").join(self._others(quiet), "cell").where(_possible()).select("cls", "other")
-        found = self._same(materialize(pairs.distinct(), "met"), new)
+        quiet = entries.where(F.col("size") <= CROWDED).withColumns({"meet": F.col("cell"), "probe": F.col("at") >= 0, "target": F.lit(True)})
+        found = self._same(materialize(meetings(quiet).select("cls", "other").distinct(), "met"), new)
         crowded = entries.where(F.col("size") > CROWDED)
         if not crowded.isEmpty():
             found = found.unionByName(self._crowded(crowded, new))
         return materialize(found.groupBy("cls").agg(F.min("other").alias("near")), "near")
 
-    @staticmethod
-    def _others(entries: DataFrame, *more: str) -> DataFrame:
-        named = {"cls": "other", "n": "other_n", "at": "other_at", "most": "other_most", **{b: f"other_{b}" for b in BITS}}
-        return entries.select("cell", *more, *[F.col(a).alias(b) for a, b in named.items()])
-
     def _same(self, pairs: DataFrame, new: DataFrame) -> DataFrame:
         """Pairs (cls, other) whose words agree in order; cls is of the batch ``new`` (cls, words).
 
@@ -306,13 +371,18 @@ class History:
         """
         ranked = materialize(distributed_row_number(entries, ["cell"], ["cls"], "rank"), "crowd")
         left, lo, hi, found = ranked.where("at >= 0"), 0, STEP, None
+        upto = lambda n: F.explode(F.sequence(F.lit(0), n))
         while not left.isEmpty():
-            blocks = F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / BLOCK))).alias("block")
-            window = self._others(ranked.where((F.col("rank") > lo) & (F.col("rank") <= hi)), "size").select(
-                "*", blocks).drop("size")
-            # a crowded cell's probes are cut into blocks, each of which meets the same few texts
-            met = left.withColumn("block", F.floor(F.col("rank") / BLOCK)).join(window, ["cell", "block"])
-            met = materialize(met.where(_possible()).select("cell", "cls", "other"), "met")
+            # the probes of a cell are cut into blocks, and so are the texts they meet; each block meets each
+            slices = (hi - lo - 1) // BLOCK
+            probes = left.withColumn("block", F.floor(F.col("rank") / BLOCK)).withColumn("slice", upto(F.lit(slices).cast("bigint")))
+            oldest = ranked.where((F.col("rank") > lo) & (F.col("rank") <= hi)).withColumn("slice", F.floor((F.col("rank") - lo - 1) / BLOCK))
+            oldest = oldest.withColumn("block", upto(F.floor(F.col("size") / BLOCK)))
+            both = probes.withColumns({"probe": F.lit(True), "target": F.lit(False)}).unionByName(
+                oldest.withColumns({"probe": F.lit(False), "target": F.lit(True)})
+            ).withColumn("meet", F.xxhash64("cell", "block", "slice"))
+            names = probes.select(F.xxhash64("cell", "block", "slice").alias("meet"), "cell").distinct()
+            met = materialize(meetings(both).join(names, "meet").select("cell", "cls", "other"), "met")
             same = self._same(met.select("cls", "other").distinct(), new)
             found = same if found is None else found.unionByName(same)
             answered = met.join(same, ["cls", "other"], "left_semi").select("cell", "cls").distinct()
