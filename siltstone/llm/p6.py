@@ -24,5 +24,11 @@ def p6_round_trip(spark: SparkSession, d: str, path: str = VOCABULARY) -> DataFr
     )
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
-ORACLES = {}
+def p6_restored(spark: SparkSession, d: str, path: str = VOCABULARY) -> DataFrame:
+    """The texts that ids decode to, by their hash; null texts come back empty."""
+    docs = p6_ids(spark, d, path)
+    return docs.select("doc_id", F.md5(token_text(F.col("ids"), path)).alias("text"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p6_restored": p6_restored}
+ORACLES = {"p6_restored": "SELECT doc_id, md5(coalesce(text, '')) AS text FROM documents"}
