@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,20 +64,67 @@ def by_gap(rows: DataFrame) -> DataFrame:
     return marked.select("channel", "id", "n", "cluster")
 
 
-def _fold(bases: pd.DataFrame) -> pd.DataFrame:
-    """Starts of one segment's base messages, when replies decide."""
+#: Base messages that are folded in one task; longer segments are folded in parts.
+PART = 4096
+
+
+def _begin(start: int, n: int, sure: bool, seen) -> int:
+    """Start of the cluster of message ``n``, if the cluster that was begun last has ``start``."""
+    if sure:
+        return start
+    # the last message before this one that is in the cluster that was begun last
+    latest = max((c for c in seen if c["root"] >= start), key=lambda c: c["at_n"], default=None)
+    return start if latest is not None and latest["ok"] else n
+
+
+def _rows(bases: pd.DataFrame) -> list[tuple]:
     bases = bases.sort_values("n")
-    start, out = None, []
-    for n, sure, seen in zip(bases["n"], bases["joins"], bases["seen"]):
-        if start is None:
-            start = n
-        elif not sure:
-            # the last message before this one that is in the cluster that was begun last
-            latest = max((c for c in seen if c["root"] >= start), key=lambda c: c["at_n"], default=None)
-            if latest is None or not latest["ok"]:
-                start = n
+    return list(zip(bases["n"], bases["joins"], ([] if x is None else x for x in bases["seen"])))
+
+
+def _outcomes(bases: pd.DataFrame) -> pd.DataFrame:
+    """The start that a part of a segment leaves behind, for every start it may be given.
+
+    Only roots that are named before the part tell starts apart: a start up to
+    ``bounds[i]`` and over the bound before leaves ``ends[i]``, or itself where that is null.
+    """
+    todo = _rows(bases)
+    first = todo[0][0]
+    bounds = sorted({c["root"] for _, sure, seen in todo if not sure for c in seen if c["root"] < first} | {first - 1})
+    # starts that lead to the same cluster go on as one
+    live = {bound: [bound] for bound in bounds}
+    for n, sure, seen in todo:
+        after: dict[int, list[int]] = {}
+        for start, given in live.items():
+            after.setdefault(_begin(start, n, sure, seen), []).extend(given)
+        live = after
+    ends = {bound: None if start < first else int(start) for start, given in live.items() for bound in given}
+    last = [b for b, following in zip(bounds, [*bounds[1:], None]) if following is None or ends[b] != ends[following]]
+    facts = bases.iloc[:1][["channel", "segment", "part"]].reset_index(drop=True)
+    return facts.assign(bounds=[[int(b) for b in last]], ends=[[ends[b] for b in last]])
+
+
+def _chain(parts: pd.DataFrame) -> pd.DataFrame:
+    """The start that each part of a segment is given; one row per part."""
+    parts = parts.sort_values("part")
+    start, given = None, []
+    for bounds, ends in zip(parts["bounds"], parts["ends"]):
+        given.append(start)
+        # the first message of a segment begins a cluster whatever it is given
+        end = ends[-1] if start is None else ends[bisect.bisect_left(list(bounds), start)]
+        start = start if end is None or pd.isna(end) else int(end)
+    return parts[["channel", "segment", "part"]].assign(start=pd.array(given, "Int64"))
+
+
+def _fold(bases: pd.DataFrame) -> pd.DataFrame:
+    """Starts of the base messages of a segment or part, when replies decide."""
+    given = bases["start"].iloc[0]
+    start, ns, out = None if pd.isna(given) else int(given), [], []
+    for n, sure, seen in _rows(bases):
+        start = n if start is None else _begin(start, n, sure, seen)
+        ns.append(n)
         out.append(start)
-    return pd.DataFrame({"channel": bases["channel"], "n": bases["n"], "cluster": out})
+    return pd.DataFrame({"channel": bases["channel"].iloc[0], "n": ns, "cluster": out})
 
 
 def by_replies(rows: DataFrame) -> DataFrame:
@@ -89,7 +138,8 @@ def by_replies(rows: DataFrame) -> DataFrame:
     Whether a message begins a cluster mostly shows from its neighbours, in
     windows over blocks of rows.  Only where replies stand in between and
     disagree does it depend on what happened since the last sure beginning;
-    these short segments alone are folded in order.
+    these segments alone are folded in order, in parts of PART base messages.
+    What the parts before leave behind is one row per part.
     """
     ship(rows.sparkSession)
     rows = materialize(rows, "posts")
@@ -122,12 +172,21 @@ def by_replies(rows: DataFrame) -> DataFrame:
     segments = materialize(
         carry_last(ordered, ["channel"], "i", F.when(~F.col("some"), F.col("n")), "segment"), "segments"
     )
-    open_segments = segments.where("some AND NOT joins").select("channel", "segment").distinct()
+    open_segments = materialize(
+        segments.groupBy("channel", "segment").agg(
+            F.bool_or(F.expr("some AND NOT joins")).alias("open"), F.min("i").alias("first_i"), F.count(F.lit(1)).alias("bases")
+        ).where("open").drop("open"), "open",
+    )
     sure = segments.join(open_segments, ["channel", "segment"], "left_anti").select("channel", "n", F.col("segment").alias("cluster"))
-    folded = (
-        segments.join(open_segments, ["channel", "segment"], "left_semi")
-        .groupBy("channel", "segment").applyInPandas(_fold, "channel string, n bigint, cluster bigint")
+    parts = segments.join(open_segments, ["channel", "segment"]).select(
+        "channel", "segment", "n", "joins", F.when(F.expr("some AND NOT joins"), F.col("seen")).alias("seen"), "bases",
+        F.floor((F.col("i") - F.col("first_i")) / PART).alias("part"),
     )
+    by = ["channel", "segment", "part"]
+    kinds = "channel string, segment bigint, part bigint"
+    outcomes = parts.where(F.col("bases") > PART).groupBy(*by).applyInPandas(_outcomes, f"{kinds}, bounds array<bigint>, ends array<bigint>")
+    given = outcomes.groupBy("channel", "segment").applyInPandas(_chain, f"{kinds}, start bigint")
+    folded = parts.join(given, by, "left").groupBy(*by).applyInPandas(_fold, "channel string, n bigint, cluster bigint")
     starts = sure.unionByName(folded).withColumnRenamed("n", "root")
     return rows.join(starts, ["channel", "root"]).select("channel", "id", "n", "cluster")
 

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +139,7 @@ def fold(posts):
 @pytest.mark.parametrize("seed", range(6))
 def test_clusters_against_the_sequential_definition(spark, monkeypatch, seed):
     monkeypatch.setattr(ranking, "BLOCK", 7)
+    monkeypatch.setattr(clusters, "PART", 2 if seed % 2 else 4096)
     random.seed(seed)
     data, want = [], {}
     for channel in ("a", "b"):
@@ -157,6 +159,29 @@ def test_clusters_against_the_sequential_definition(spark, monkeypatch, seed):
     assert {("b", r.id): r.first for r in gap.collect()} == {k: v for k, v in want.items() if k[0] == "b"}
 
 
+def test_a_long_segment_is_folded_in_parts():
+    random.seed(11)
+    passed_on = 0
+    for _ in range(200):
+        size, part = random.randrange(1, 40), random.randrange(1, 9)
+        ns = sorted(random.sample(range(1, 200), size))
+        rows = []
+        for i, n in enumerate(ns):
+            # a message before may be the root of several answers; the one before is always among them
+            roots = {ns[i - 1], *random.sample(ns[:i], min(i, random.randrange(4)))} if i else set()
+            seen = [{"root": r, "at_n": at, "ok": random.random() < 0.6} for r, at in zip(roots, random.sample(range(n), len(roots)))]
+            sure = bool(seen) and all(c["ok"] for c in seen)
+            rows.append(("c", ns[0], n, sure, None if sure else seen, i // part))
+        whole = pd.DataFrame(rows, columns=["channel", "segment", "n", "joins", "seen", "part"])
+        want = clusters._fold(whole.assign(start=None))
+        parts = [p for _, p in whole.sample(frac=1, random_state=1).groupby("part")]
+        given = clusters._chain(pd.concat([clusters._outcomes(p) for p in parts])).set_index("part")["start"]
+        got = pd.concat([clusters._fold(p.assign(start=given[p["part"].iloc[0]])) for p in parts])
+        assert dict(zip(got["n"], got["cluster"])) == dict(zip(want["n"], want["cluster"]))
+        passed_on += sum(want["cluster"].iloc[i] < ns[i - i % part] for i in range(size))
+    assert passed_on > 100
+
+
 def test_items_from_clusters(spark):
     schema = (
         "channel string, pos int, id string, type string, timestamp string, content string, author struct<id:string,name:string,nickname:string>, reference struct<messageId:string>,"
