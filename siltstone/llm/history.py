@@ -3,11 +3,11 @@
 The index of what was accepted is a folder of tables to which batches are
 appended: keys (ids, sets of links, equal texts), and for near-duplicates an
 inverted file.  A text is a sparse vector of its pairs of neighbouring words;
-every pair is a cell that lists the texts that have it, and the full vectors
-and words are kept beside.  A new text probes its cells from the rarest on, and
-stops when the cells left are too few for any text within the distance; what
-it met there is compared word by word unless the sets of words rule it out.
-No bound loses a pair: see ``_possible``.
+every pair is a cell that lists the texts that have it and where, and the full
+vectors and words are kept beside.  A new text probes its cells from the rarest
+on, and stops when the cells left are too few for any text within the distance;
+what it met there is compared word by word unless lengths, places or the sets of
+words rule it out.  No bound loses a pair: see ``_pairs_of``.
 
 The tables are cut into buckets by the hash of what they are looked up by.  A
 batch reads the buckets that its keys and cells fall into, the narrow columns
@@ -33,18 +33,20 @@ SHORTEST_TEXT = 200
 #: Texts are the same from this share of common words in common order on.
 SAME = 0.8
 #: Share of a text's cells that are probed: follows from SAME and the shortest text that can be the same, of
-#: SAME / (2 - SAME) * n words; see ``_possible``.
+#: SAME / (2 - SAME) * n words; see ``_pairs_of``.
 PROBED = 1 - (3 * SAME / 2 - 1) * (1 + SAME / (2 - SAME))
 #: Words of a text are also kept as a set of bits, in so many numbers of 64.
 BITS = ["b0", "b1", "b2", "b3"]
 #: Cells with more texts than this are probed in steps, the oldest texts first, and in blocks of so many.
-CROWDED, STEP, GROWTH, BLOCK = 4096, 4, 8, 4096
+CROWDED, STEP, GROWTH, BLOCK = 32768, 4, 8, 32768
+#: Rarity of cells is looked up in so many slots, which every task holds; cells that share a slot count as more common.
+SLOTS = 1 << 21
 
 #: Default number of buckets of an index; it is fixed with the first batch and should grow with the index to come.
 BUCKETS = 32
 
 KEYS = "kind string, key string, seq bigint"
-CELLS = "cell bigint, cls bigint, n int"
+CELLS = "cell bigint, cls bigint, pos int"
 VECTORS = "cls bigint, n int, words array<string>, " + ", ".join(f"{b} bigint" for b in BITS)
 NEAR = "cls bigint, near bigint"
 
@@ -89,11 +91,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def pair_cells(words: pa.ListArray) -> tuple[pa.ListArray, np.ndarray]:
-    """Cells of texts: hashes of the n + 1 pairs of neighbouring words, the ends being neighbours too, and sets of
-    words as bits of BITS.
-
-    A pair that comes again in a text is another cell each time.
-    """
+    """Cells of texts: hashes of the n + 1 pairs of neighbouring words in their order, the ends being neighbours too,
+    and sets of words as bits of BITS."""
     flat = words.flatten().dictionary_encode()
     names = np.array([xxhash.xxh64_intdigest(w) for w in flat.dictionary.to_pylist()], np.uint64)
     hashes = names[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.uint64)
@@ -106,18 +105,10 @@ def pair_cells(words: pa.ListArray) -> tuple[pa.ListArray, np.ndarray]:
     left[at + 1], right[at] = hashes, hashes
     with np.errstate(over="ignore"):
         pairs = _mixed(left * np.uint64(0x9E3779B97F4A7C15) + _mixed(right + np.uint64(1)))
-    # how often a pair was there before in its text
-    order = np.lexsort((pairs, row))
-    first = np.ones(len(order), bool)
-    first[1:] = (row[order][1:] != row[order][:-1]) | (pairs[order][1:] != pairs[order][:-1])
-    place = np.arange(len(order))
-    again = place - np.maximum.accumulate(np.where(first, place, 0)) if len(order) else place
-    with np.errstate(over="ignore"):
-        cells = _mixed(pairs[order] + again.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     bits = np.zeros((texts, 64 * len(BITS)), np.uint8)
     bits[own, (hashes % np.uint64(64 * len(BITS))).astype(np.int64)] = 1
     packed = np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(texts, len(BITS))
-    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(cells.view(np.int64))), packed
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(pairs.view(np.int64))), packed
 
 
 def _cells(words: Column) -> Column:
@@ -136,45 +127,17 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return some.select("cls", "n", "words", _cells(F.col("words")).alias("v")).select("cls", "n", "words", "v.*")
 
 
-def _most(n: Column, at: Column) -> Column:
-    """Words of the longest text that a text of n words may be the same as, if their first cell in common is at place
-    ``at``: solves at <= n + 1 - shared (see ``_possible``) for k, ``least`` not rounded."""
-    return F.floor(((2 - 1.5 * SAME) * n - at) / (1.5 * SAME - 1) + 1e-6).cast("int")
-
-
-def _possible(x: dict, mine: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i of ``mine``, j of ``theirs``) of rows of one cell that may be the same, j being older.
-
-    Texts of n and k words that are the same have at least ``least`` = SAME / 2 * (n + k)
-    words in common order.  With the ends of the texts these are least + 1 pairs of
-    neighbours, and each of the n + k - 2 * least other words parts one of them at
-    most; the rest are cells in common.  If both order their cells alike, the
-    first of these has at least as many of the text's own cells from it on.  And
-    words that only one of them has, told by their bits, are none of the common ones.
-    """
-    # theirs are in order of age, so that those after the youngest of mine are out
-    theirs = theirs[:np.searchsorted(x["cls"][theirs], x["cls"][mine].max())]
-    n, k = x["n"][mine].astype(np.int32)[:, None], x["n"][theirs].astype(np.int32)[None, :]
-    lacking = np.zeros((len(mine), len(theirs)), np.uint8)
-    for word in x["bits"]:
-        lacking += np.bitwise_count(word[mine][:, None] & ~word[theirs][None, :])
-    # the same bounds not rounded, and so a little weaker, but cheap; what is left is looked at exactly
-    per = round(50 * SAME)
-    some = 100 * lacking.astype(np.int32) <= (100 - per) * n - per * k
-    some &= (k <= x["most"][mine][:, None]) & (n <= x["most"][theirs][None, :]) & (x["cls"][theirs][None, :] < x["cls"][mine][:, None])
-    i, j = np.nonzero(some)
-    i, j = mine[i], theirs[j]
-    for check in (_enough_cells, _enough_words):
-        good = check(x, i, j)
-        i, j = i[good], j[good]
-    return i, j
-
-
 def _least(n: np.ndarray, k: np.ndarray) -> np.ndarray:
     # in hundredths, so that no rounding is in the way
     return (round(50 * SAME) * (n + k) + 99) // 100
 
 
+def _near_places(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    n, k = x["n"][i], x["n"][j]
+    most = n + k - 2 * _least(n, k)
+    return (np.abs(x["middle"][i] - x["middle"][j]) <= most) & (np.abs(n - k) <= most)
+
+
 def _enough_cells(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     n, k = x["n"][i], x["n"][j]
     shared = 3 * _least(n, k) + 1 - n - k
@@ -189,9 +152,11 @@ def _enough_words(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return (mine <= n - least) & (theirs <= k - least)
 
 
-#: Rows that are compared with others at a time.
-AT_ONCE = 128
-ENTRY = ["meet", "cls", "n", "at", "most", "probe", "target", *BITS]
+#: Rows that are compared with others at a time; groups with more rows than SPLIT are compared by lengths.
+AT_ONCE, SPLIT = 128, 256
+#: Pairs that are looked at exactly at a time.
+HELD = 500_000
+ENTRY = ["meet", "cls", "n", "at", "pos", "probe", "target", *BITS]
 MET = "meet bigint, cls bigint, other bigint"
 
 
@@ -200,7 +165,7 @@ def _rows(x: dict, of) -> dict:
 
 
 def _meet(batches):
-    """Pairs that may be the same, of Arrow batches of ENTRY rows in order of ``meet`` and ``cls``."""
+    """Pairs that may be the same, of Arrow batches of ENTRY rows in order of ``meet``."""
     rest = None
     for batch in batches:
         x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ENTRY if c not in BITS}
@@ -210,34 +175,145 @@ def _meet(batches):
         if not len(x["meet"]):
             continue
         starts = np.flatnonzero(np.concatenate([[True], x["meet"][1:] != x["meet"][:-1]]))
-        yield from _pairs_of(x, starts)
         # the last group may go on in the next batch
-        rest = _rows(x, lambda v, at=starts[-1]: v[at:])
+        last = starts[-1]
+        yield from _pairs_of(_rows(x, lambda v, at=last: v[:at]))
+        rest = _rows(x, lambda v, at=last: v[at:])
     if rest is not None:
-        yield from _pairs_of(rest, np.array([0, len(rest["meet"])]))
+        yield from _pairs_of(rest)
+
 
+def _pairs_of(x: dict):
+    """Pairs of rows of one ``meet`` that may be the same, a probe and an older target.
 
-def _pairs_of(x: dict, starts: np.ndarray):
-    """Pairs of the groups between ``starts``; what follows the last start is left."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for lo, hi in zip(starts[:-1], starts[1:]):
-        mine, theirs = lo + np.flatnonzero(x["probe"][lo:hi]), lo + np.flatnonzero(x["target"][lo:hi])
-        for at in range(0, len(mine), AT_ONCE):
-            pairs = _possible(x, mine[at:at + AT_ONCE], theirs)
-            if len(pairs[0]):
-                found.append(pairs)
-    if found:
-        i, j = (np.concatenate(side) for side in zip(*found))
-        yield pa.RecordBatch.from_arrays([pa.array(x["meet"][i]), pa.array(x["cls"][i]), pa.array(x["cls"][j])], names=["meet", "cls", "other"])
+    Texts of n and k words that are the same have at least ``least`` = SAME / 2 * (n + k)
+    words in common order.  With the ends of the texts these are least + 1 pairs of
+    neighbours, and each of the n + k - 2 * least other words parts one of them at
+    most; the rest are cells in common.  If both order their cells alike, those of a
+    cell as they stand, the first of these has at least as many of the text's own
+    cells from it on.  What stands before and after it differs by no more words than
+    the other ones: the cell's places, counted from the middles of the texts in half
+    words, are at most n + k - 2 * least apart.  And words that only one of them has,
+    told by their bits, are none of the common ones.
+    """
+    if len(x["meet"]) < 2:
+        return
+    n = x["n"].astype(np.int64)
+    middle = 2 * x["pos"].astype(np.int64) - n
+    group = np.concatenate([[0], np.cumsum(x["meet"][1:] != x["meet"][:-1])])
+    # lengths of texts that are the same are in one class or in neighbouring ones
+    length = np.where(np.bincount(group)[group] > SPLIT, np.floor(np.log(n) / np.log(1.01 * (2 - SAME) / SAME)), 0).astype(np.int64)
+    order = np.lexsort((middle, length, ~x["probe"], group))
+    x = _rows(x, lambda v: v[order])
+    n, middle, group, length = n[order], middle[order], group[order], length[order]
+    x["middle"] = middle
+    bits = np.unpackbits(np.stack(x["bits"], 1).view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+    # a row's words that the other lacks are no more than n - least: the sum over both rows' numbers is not below 0
+    one = np.ones(len(n), np.float32)
+    left = np.column_stack([bits, one, ((1 - SAME / 2) * n - bits.sum(1)).astype(np.float32)])
+    right = np.column_stack([bits, (-SAME / 2 * n).astype(np.float32), one])
+    edges = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (x["probe"][1:] != x["probe"][:-1]) | (length[1:] != length[:-1]), [True]]))
+    longest = np.maximum.reduceat(n, edges[:-1])
+    # runs of one length by group, probes before others
+    first = edges[:-1]
+    runs = list(zip(group[first].tolist(), x["probe"][first].tolist(), length[first].tolist(), x["target"][first].tolist(), first.tolist(), edges[1:].tolist(), longest.tolist()))
+    found, held = [], 0
+    for r, (g, probe, size, target, lo, hi, most) in enumerate(runs):
+        if not probe:
+            continue
+        for other in runs[r:]:
+            if other[0] != g:
+                break
+            _, probing, its, targeted, start, end, longer = other
+            if abs(its - size) > 1 or not targeted or (probing and not target):
+                continue
+            same = start == lo
+            if same and hi - lo < 2:
+                continue
+            reach = (1 - SAME) * (most + longer) + 1
+            for at in range(lo, hi, AT_ONCE):
+                to = min(at + AT_ONCE, hi)
+                begin, stop = start, end
+                if end - start > AT_ONCE:
+                    begin = start + int(np.searchsorted(middle[start:end], middle[at] - reach))
+                    stop = start + int(np.searchsorted(middle[start:end], middle[to - 1] + reach, "right"))
+                if same:
+                    begin = at
+                if begin >= stop:
+                    continue
+                hits = np.flatnonzero(left[at:to] @ right[begin:stop].T > -0.01)
+                if len(hits):
+                    found.append((at + hits // (stop - begin), begin + hits % (stop - begin)))
+                    held += len(hits)
+        if held > HELD:
+            yield from _checked(x, found)
+            found, held = [], 0
+    yield from _checked(x, found)
+
+
+def _checked(x: dict, found: list[tuple[np.ndarray, np.ndarray]]):
+    """The pairs of ``found`` that meet all bounds exactly."""
+    if not found:
+        return
+    a, b = (np.concatenate(side) for side in zip(*found))
+    young = x["cls"][a] > x["cls"][b]
+    i, j = np.where(young, a, b), np.where(young, b, a)
+    good = (x["cls"][i] != x["cls"][j]) & x["probe"][i] & x["target"][j]
+    i, j = i[good], j[good]
+    for check in (_near_places, _enough_cells, _enough_words):
+        good = check(x, i, j)
+        i, j = i[good], j[good]
+    # texts of a group that have its cell again meet again
+    pairs = np.unique(np.column_stack([x["meet"][i], x["cls"][i], x["cls"][j]]), axis=0)
+    if len(pairs):
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, c].copy()) for c in range(3)], names=["meet", "cls", "other"])
+
+
+def _prefixes(batch: pa.RecordBatch, counts: np.ndarray) -> pa.RecordBatch:
+    """Cells that texts (cls, n, cells, bits) probe, in their order from the rarest on by ``counts`` of slots."""
+    cells = batch.column("cells")
+    n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = cells.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = cells.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    size = counts[flat & (len(counts) - 1)]
+    order = np.lexsort((flat, size, row))
+    # a cell with one text has nothing to be found; those are rarest of all
+    kept = order[(size[order] > 1) & (at <= np.floor(PROBED * n + 1e-9)[row])], at[(size[order] > 1) & (at <= np.floor(PROBED * n + 1e-9)[row])]
+    own = pa.array(row[kept[0]])
+    new = {"cell": pa.array(flat[kept[0]]), "at": pa.array(kept[1].astype(np.int32)), "pos": pa.array(at[kept[0]].astype(np.int32)), "size": pa.array(size[kept[0]].astype(np.int32))}
+    for c in ("cls", "n", *BITS):
+        new[c] = batch.column(c).take(own)
+    return pa.RecordBatch.from_arrays([new[c] for c in PROBE], names=PROBE)
+
+
+PROBE = ["cell", "cls", "n", "at", "pos", "size", *BITS]
+PROBES = "cell bigint, cls bigint, n int, at int, pos int, size int, " + ", ".join(f"{b} bigint" for b in BITS)
+
+
+def _probes(new: DataFrame, slots: DataFrame) -> DataFrame:
+    """PROBES of texts ``new``; ``slots`` (slot, count) has no more than SLOTS rows, which every task gets."""
+    ship(new.sparkSession)
+    told = slots.toArrow()
+    counts = np.ones(SLOTS, np.int32)
+    counts[told["slot"].to_numpy()] = np.minimum(told["count"].to_numpy(), 2**31 - 1)
+    counts = new.sparkSession.sparkContext.broadcast(counts)
+
+    def of(batches):
+        for batch in batches:
+            yield _prefixes(batch, counts.value)
+
+    return new.select("cls", "n", "cells", *BITS).mapInArrow(of, PROBES)
 
 
 def meetings(entries: DataFrame) -> DataFrame:
     """(meet, cls, other): texts ``cls`` (``probe``) and older ones (``target``) of one ``meet`` that may be the same.
 
-    Rows of one ``meet`` are compared in one task, which holds them all; callers keep them to a few thousand.
+    Rows of one ``meet`` are compared in one task, which holds them all; callers keep them to some ten thousand.
     """
     ship(entries.sparkSession)
-    return entries.select(ENTRY).repartition(width(entries.sparkSession), "meet").sortWithinPartitions("meet", "cls").mapInArrow(_meet, MET)
+    return entries.select(ENTRY).repartition(width(entries.sparkSession), "meet").sortWithinPartitions("meet").mapInArrow(_meet, MET)
 
 
 def common_words(a: list[str], b: list[str]) -> int:
@@ -309,7 +385,7 @@ class History:
         near = self._near(new)
         self._append("keys", keys.groupBy("kind", "key").agg(F.min("seq").alias("seq")), "kind", "key")
         self._append("vectors", new.drop("cells"), "cls")
-        self._append("cells", new.select(F.explode("cells").alias("cell"), "cls", "n"), "cell")
+        self._append("cells", new.select(F.posexplode("cells").alias("pos", "cell"), "cls").select("cell", "cls", "pos"), "cell")
         self._append("near", near, "cls")
         self._filled = True
         texts = first.where("kind = 'text'").select(F.col("first").alias("cls"))
@@ -322,29 +398,29 @@ class History:
 
     def _near(self, new: DataFrame) -> DataFrame:
         """(cls, near): the oldest text that is nearly the same as each of ``new``, in index or batch."""
-        own = materialize(new.select(F.explode("cells").alias("cell"), "cls"), "own")
-        asked_cells = own.select("cell").distinct()
-        old = self._table("cells", CELLS, asked_cells, ["cell"]).select("cell", "cls").join(asked_cells, "cell", "left_semi")
-        # a cell with one text has nothing to be found
-        sizes = old.unionByName(own).groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sizes = materialize(sizes, "sizes")
-        # a text's cells from the rarest on; those with this text alone are rarest of all
-        ranked = own.join(sizes, "cell", "left").withColumn("size", F.coalesce("size", F.lit(1))).groupBy("cls").agg(
-            F.array_sort(F.collect_list(F.struct("size", "cell"))).alias("c")
-        ).join(new.select("cls", "n", *BITS), "cls").select("cls", "n", *BITS, F.posexplode("c").alias("at", "c"))
-        asked = (F.col("c.size") > 1) & (F.col("at") <= F.floor(PROBED * F.col("n") + 1e-9))
-        columns = ["cell", "cls", "n", "at", "size", *BITS]
-        most = _most(F.col("n"), F.col("at")).alias("most")
-        probes = ranked.where(asked).withColumn("cell", F.col("c.cell")).withColumn("size", F.col("c.size")).select(columns)
-        # cells of texts in the index are in no order, so that all of them are met
-        met = old.join(sizes, "cell").join(self._table("vectors", VECTORS).select("cls", "n", *BITS), "cls")
-        entries = materialize(probes.unionByName(met.withColumn("at", F.lit(-1)).select(columns)).select("*", most), "cells")
+        cells = new.select(F.explode("cells").alias("cell"))
+        counted, old = cells, None
+        if self._filled:
+            asked = materialize(cells.distinct(), "asked")
+            old = self._table("cells", CELLS, asked, ["cell"]).join(asked, "cell", "left_semi")
+            counted = cells.unionByName(old.select("cell"))
+        slot = F.col("cell").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")
+        entries = materialize(_probes(new, counted.groupBy(slot).count().where("count > 1")), "cells")
+        if old is not None:
+            # cells of texts in the index are in no order, so that all of them are met
+            met = old.join(entries.select("cell").distinct(), "cell", "left_semi").join(self._table("vectors", VECTORS).select("cls", "n", *BITS), "cls")
+            met = met.withColumns({"at": F.lit(-1), "size": F.lit(None).cast("int")}).select(PROBE)
+            entries = materialize(entries.unionByName(met), "cells")
         new = new.select("cls", "words")
-        quiet = entries.where(F.col("size") <= CROWDED).withColumns({"meet": F.col("cell"), "probe": F.col("at") >= 0, "target": F.lit(True)})
+        # a cell is no larger than its slot
+        sizes = entries.where(F.col("size").isNull() | (F.col("size") > CROWDED)).groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+        sizes = materialize(sizes.where(F.col("size") > CROWDED), "sizes")
+        crowds = not sizes.isEmpty()
+        quiet = entries.join(sizes, "cell", "left_anti") if crowds else entries
+        quiet = quiet.withColumns({"meet": F.col("cell"), "probe": F.col("at") >= 0, "target": F.lit(True)})
         found = self._same(materialize(meetings(quiet).select("cls", "other").distinct(), "met"), new)
-        crowded = entries.where(F.col("size") > CROWDED)
-        if not crowded.isEmpty():
-            found = found.unionByName(self._crowded(crowded, new))
+        if crowds:
+            found = found.unionByName(self._crowded(entries.drop("size").join(sizes, "cell"), new))
         return materialize(found.groupBy("cls").agg(F.min("other").alias("near")), "near")
 
     def _same(self, pairs: DataFrame, new: DataFrame) -> DataFrame:
@@ -369,7 +445,7 @@ class History:
         (then GROWTH times as many) oldest texts.  A probe that is answered
         leaves its cell: texts come in order of age, so nothing older is left.
         """
-        ranked = materialize(distributed_row_number(entries, ["cell"], ["cls"], "rank"), "crowd")
+        ranked = materialize(distributed_row_number(entries, ["cell"], ["cls", "pos"], "rank"), "crowd")
         left, lo, hi, found = ranked.where("at >= 0"), 0, STEP, None
         upto = lambda n: F.explode(F.sequence(F.lit(0), n))
         while not left.isEmpty():

@@ -133,3 +133,27 @@ def test_scattered_edits_in_a_group(spark):
         data.append((seq, f"i{seq}", [], " ".join(texts[-1][1]), 1, 1, 1, 1))
     got = H.History(spark).accept(H.prepare(spark.createDataFrame(data, SCHEMA)))
     assert len(want) > 290 and {r.seq: r.first for r in got.collect()} == want
+
+
+def test_crowds_are_of_probing_texts(spark, monkeypatch):
+    # "of the" is in 24 texts, but few words of four texts only are rarer than it
+    monkeypatch.setattr(H, "CROWDED", 8)
+    monkeypatch.setattr(H.History, "_crowded", lambda *_: pytest.fail("no cell is crowded"))
+    common = [f"common{i}" for i in range(31)]
+    data = []
+    for seq in range(1, 35):
+        own = [f"own{seq}x{i}" for i in range(80 if seq <= 30 else 12)]
+        words = common + (["of", "the"] if seq > 10 else []) + own
+        data.append((seq, f"i{seq}", [], " ".join(words), 1, 1, 1, 1))
+    assert H.History(spark).accept(H.prepare(spark.createDataFrame(data, SCHEMA))).count() == 0
+
+
+def test_moved_as_far_as_may_be(spark, monkeypatch):
+    # all cells in common are 30 places further on; in the third text 31, which is too far
+    monkeypatch.setattr(H, "SPLIT", 2)
+    monkeypatch.setattr(H, "AT_ONCE", 1)
+    body = [f"word{i}" for i in range(120)]
+    texts = [body + [f"end{i}" for i in range(30)], [f"start{i}" for i in range(30)] + body, [f"other{i}" for i in range(31)] + body]
+    data = [(seq, f"i{seq}", [], " ".join(words), 1, 1, 1, 1) for seq, words in enumerate(texts, 1)]
+    got = H.History(spark).accept(H.prepare(spark.createDataFrame(data, SCHEMA)))
+    assert {r.seq: r.first for r in got.collect()} == brute(spark, data) == {2: 1}
