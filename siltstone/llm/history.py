@@ -44,6 +44,8 @@ SLOTS = 1 << 21
 
 #: Default number of buckets of an index; it is fixed with the first batch and should grow with the index to come.
 BUCKETS = 32
+#: Bytes for each bucket from which on what is appended is not shuffled by bucket.
+UNSHUFFLED = 1 << 18
 
 KEYS = "kind string, key string, seq bigint"
 CELLS = "cell bigint, cls bigint, pos int"
@@ -365,7 +367,10 @@ class History:
         return found.drop("bucket")
 
     def _append(self, name: str, df: DataFrame, *by: str) -> None:
-        cut = df.withColumn("bucket", self._bucket(*by)).repartition("bucket")
+        # of much data each task writes its own files, so that it isn't shuffled
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        cut = df.withColumn("bucket", self._bucket(*by))
+        cut = cut if size > self.buckets * UNSHUFFLED else cut.repartition("bucket")
         cut.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{name}")
 
     def accept(self, rows: DataFrame) -> DataFrame:
